@@ -9,22 +9,32 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import leaks
+from .fmindex import dedup_words
 from .mixing import plan
 from .ordinal import grades, scores, train
 from .sharding import shards, shards_sql
 from .simhash import near_duplicates
+from .suffixlog import dedup_bytes
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_words(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rated = table(spark, sf_dir, "labels").select("doc_id", grades(F.col("quality"), F.col("toxic")).alias("grade"))
     return scores(docs, train(docs, rated))
 
 
+def op5_suffixlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "oversize")
 
