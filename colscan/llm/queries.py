@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import leaks
 from .fmindex import dedup_words
+from .forest import judged
 from .mixing import plan
 from .ordinal import grades, scores, train
 from .sharding import shards, shards_sql
 from .simhash import near_duplicates
 from .suffixlog import dedup_bytes
+from .urlfilter import filtered
+
+
+def op1_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +49,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtered(table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(table(spark, sf_dir, "documents"))
 

@@ -111,14 +111,19 @@ class Repeats:
                 continue
             at = np.arange(len(u.hash) - self.gram + 1)
             low = spans(u.hash, at, at + self.gram)
+            where = at if self.within else None
             have, need = 1, self.length - self.gram + 1
             while have < need:  # minimum over ``need`` neighbours by doubling
                 step = min(have, need - have)
+                if self.within:
+                    where = np.where(low[step:] < low[:-step], where[step:], where[:-step])
                 low = np.minimum(low[:-step], low[step:])
                 have += step
             doc = np.repeat(np.arange(len(part)), np.diff(u.bounds))
             whole = doc[:n] == doc[self.length - 1 :]
             new = np.r_[True, (low[1:] != low[:-1]) | (doc[1:n] != doc[: n - 1]) | (whole[1:] != whole[:-1])]
+            if self.within:  # the place of the least piece parts equal stretches of one document
+                new[1:] |= where[1:] != where[:-1]
             begin = np.flatnonzero(new)
             size = np.diff(np.r_[begin, n])
             good = whole[begin]

@@ -90,7 +90,7 @@ def test_edges(spark):
 
 def test_fm_index_counts():
     r = np.random.default_rng(1)
-    text = r.integers(0, 5, 400)
+    text = r.integers(1, 6, 400)
     index = fmindex.FMIndex(np.r_[text, 0], 8)
     for n in (1, 3, 6):
         p = np.array([text[i : i + n] for i in range(60)])
