@@ -13,6 +13,7 @@ from .fmindex import dedup_words
 from .forest import judged
 from .mixing import plan
 from .ordinal import grades, scores, train
+from .pii import personal_data
 from .sharding import shards, shards_sql
 from .simhash import near_duplicates
 from .suffixlog import dedup_bytes
@@ -53,6 +54,10 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered(table(spark, sf_dir, "pages"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(table(spark, sf_dir, "documents"))
 
