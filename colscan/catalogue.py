@@ -2,19 +2,339 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import crypto, encodings
+from .operators import adaptive, dictionary, masks, ordered, stats
+from .plans.tpch import promo_share
+from .sources.scan import footers, scan
+from .sources.writer import WriteOptions, write
+from .streaming import stream
 
-def q14_promo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem, part = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part"))
-    return lineitem.join(part, lineitem.l_partkey == part.p_partkey).selectExpr("round(100 * sum(case when p_type like 'PROMO%' then l_extendedprice * (1 - l_discount) else 0 end) / sum(l_extendedprice * (1 - l_discount)), 6) as promo_revenue")
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+KEY, AAD = b"0123456789abcdef", crypto.module_aad(b"tab", b"file", "data_page", 0, 1, 2)
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a query and its DuckDB form."""
+
+    def add(f):
+        _queries[name or f.__name__] = f
+        if sql:
+            _sql[name or f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"q14_promo": q14_promo}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str, columns: list[str | int] | None = None) -> DataFrame:
+    return scan(spark, f"{sf_dir}/{name}.parquet", columns)
+
+
+def _shared(spark: SparkSession) -> str:
+    """A fresh path in the folder that all executors share; a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='colscan-')}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+# Plans and scans
+
+
+@query("""select round(100 * sum(case when p_type like 'PROMO%' then l_extendedprice * (1 - l_discount) else 0 end) / sum(l_extendedprice * (1 - l_discount)), 6) as promo_revenue
+from lineitem join part on l_partkey = p_partkey where l_shipdate >= timestamp '1995-09-01' and l_shipdate < timestamp '1995-10-01'""")
+def q14_promo(spark, d):
+    return promo_share(spark, d)
+
+
+for _name, _table, _column in (("scan_i64", "lineitem", "l_orderkey"), ("scan_i32", "lineitem", "l_linenumber"), ("scan_f64", "lineitem", "l_extendedprice"), ("scan_string", "documents", "text"), ("scan_timestamp", "lineitem", "l_shipdate")):
+    query(f"select {_column} from {_table}", _name)(lambda s, d, t=_table, c=_column: _t(s, d, t, [c]))
+query("select o_orderkey, o_totalprice from orders", "scan_by_ordinal")(lambda s, d: _t(s, d, "orders", [0, 3]))
+
+
+@query("select vec_id, i - 1 as at, embedding[i] as value from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings)")
+def scan_nested_float(spark, d):
+    return _t(spark, d, "embeddings", ["vec_id", "embedding"]).select("vec_id", F.posexplode("embedding").alias("at", "value"))
+
+
+@query("select o_orderkey, o_totalprice, row_number() over (order by o_orderkey) - 1 as place from orders")
+def row_address(spark, d):
+    return ordered.row_index(_t(spark, d, "orders", ["o_orderkey", "o_totalprice"]), "o_orderkey", "place")
+
+
+# Filters, masks, late materialisation
+
+
+@query("select event_id, user_id, value from events where event_type = 'click' and value > 50")
+def late_mat_project(spark, d):
+    return masks.gather(_t(spark, d, "events"), F.expr("event_type = 'click' and value > 50"), ["event_id", "user_id", "value"])
+
+
+@query("select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_totalprice > 300000)")
+def masked_by_other(spark, d):
+    big = _t(spark, d, "orders", ["o_custkey", "o_totalprice"]).select(F.col("o_custkey").alias("c_custkey"), (F.col("o_totalprice") > 300000).alias("mask"))
+    return masks.gather_by(_t(spark, d, "customer"), big, "c_custkey", ["c_custkey", "c_name"])
+
+
+@query("select event_id, coalesce(value < 10, false) as mask from events")
+def row_mask(spark, d):
+    return masks.with_mask(_t(spark, d, "events", ["event_id", "value"]), F.col("value") < 10).select("event_id", "mask")
+
+
+@query("""select (event_id // 32768) + 1 as bucket, count(*) as set_bits from events where value < 10 group by 1""")
+def packed_mask(spark, d):
+    return masks.pack_mask(masks.with_mask(_t(spark, d, "events", ["event_id", "value"]), F.col("value") < 10), "event_id").select("bucket", "set_bits")
+
+
+@query("select count(*) as n from events where value < 10 and event_id < 5000")
+def popcount_prefix(spark, d):
+    return masks.popcount_prefix(masks.with_mask(_t(spark, d, "events", ["event_id", "value"]), F.col("value") < 10), "event_id", 5000)
+
+
+@query("select " + ", ".join(f"count(*) filter (where event_id % {k} = 0) as n_{k}" for k in (1, 2, 10, 100, 1000)) + ", 0 as n_none from events")
+def mask_selectivity_sweep(spark, d):
+    return _t(spark, d, "events", ["event_id"]).agg(*[F.count_if(F.col("event_id") % k == 0).alias(f"n_{k}") for k in (1, 2, 10, 100, 1000)], F.count_if(F.lit(False)).cast("int").alias("n_none"))
+
+
+@query("select o_orderkey, o_totalprice from orders where o_orderkey between 4000 and 5500")
+def range_between_i64(spark, d):
+    return masks.between(_t(spark, d, "orders", ["o_orderkey", "o_totalprice"]), "o_orderkey", 4000, 5500)
+
+
+@query("select l_orderkey, l_shipdate from lineitem where l_shipdate between timestamp '1996-01-01' and timestamp '1996-03-31'")
+def range_between_ts(spark, d):
+    return _t(spark, d, "lineitem", ["l_orderkey", "l_shipdate"]).where("l_shipdate between timestamp_ntz '1996-01-01' and timestamp_ntz '1996-03-31'")
+
+
+@query("select count(*) as n from lineitem where l_quantity > 25 and l_discount < 0.05")
+def count_matching(spark, d):
+    return masks.count_matching(_t(spark, d, "lineitem", ["l_quantity", "l_discount"]), F.expr("l_quantity > 25 and l_discount < 0.05"))
+
+
+_PAGES = "with r as (select *, (row_number() over (order by o_orderkey) - 1) // 1000 as page from orders), z as (select page, min(o_totalprice) as lo, max(o_totalprice) as hi, count(*) as n_rows, count(*) filter (where o_totalprice is null) as nulls from r group by page) "
+
+
+def _orders(spark, d):
+    return _t(spark, d, "orders", ["o_orderkey", "o_totalprice"])
+
+
+@query(_PAGES + "select page, lo, hi, n_rows, nulls from z")
+def zone_map(spark, d):
+    return masks.zone_map(_orders(spark, d), "o_totalprice", "o_orderkey", 1000)
+
+
+@query(_PAGES + "select page, hi >= 499000 and lo <= 600000 as keep from z")
+def page_keep_mask(spark, d):
+    return masks.page_keep_mask(masks.zone_map(_orders(spark, d), "o_totalprice", "o_orderkey", 1000), 499000.0, 600000.0).select("page", "keep")
+
+
+@query(_PAGES + "select o_orderkey, o_totalprice from r join z using (page) where hi >= 499000 and lo <= 600000")
+def pruned_superset(spark, d):
+    return masks.pruned_superset(_orders(spark, d), "o_totalprice", "o_orderkey", 499000.0, 600000.0, 1000).select("o_orderkey", "o_totalprice")
+
+
+# Adaptive filters
+
+
+@query("select event_id, value, 'values' as shape from events where value >= 0")
+def adaptive_high(spark, d):
+    found = adaptive.adaptive_filter(_t(spark, d, "events", ["event_id", "value"]), "value", lambda c: c >= 0, "event_id", 1024)
+    return found.rows.select("event_id", "value", F.lit(found.probe.dispatch).alias("shape"))
+
+
+@query("select event_id, coalesce(value < 0.5, false) as mask, 'mask' as shape from events")
+def adaptive_low(spark, d):
+    found = adaptive.adaptive_filter(_t(spark, d, "events", ["event_id", "value"]), "value", lambda c: c < 0.5, "event_id", 1024)
+    return found.rows.select("event_id", "mask", F.lit(found.probe.dispatch).alias("shape"))
+
+
+@query("select count(*) as rows_in, count(*) filter (where value < 20) as rows_passed, round(avg((value < 20)::int), 6) as selectivity, case when avg((value < 20)::int) > 0.1 then 'values' else 'mask' end as dispatch from (select * from events order by event_id limit 1536)")
+def selectivity_probe(spark, d):
+    p = adaptive.adaptive_filter(_t(spark, d, "events", ["event_id", "value"]), "value", lambda c: c < 20, "event_id", 512).probe
+    return spark.range(1).select(F.lit(p.rows_in).cast("long").alias("rows_in"), F.lit(p.rows_passed).cast("long").alias("rows_passed"), F.lit(round(p.selectivity, 6)).alias("selectivity"), F.lit(p.dispatch).alias("dispatch"))
+
+
+# Dictionaries
+
+_DICT = "with f as (select event_type as value, min(event_id) as first from events group by 1), k as (select row_number() over (order by first) - 1 as code, value, first from f) "
+
+
+@query(_DICT + "select code, value, first from k")
+def dict_first_occurrence(spark, d):
+    return dictionary.dictionary(_t(spark, d, "events", ["event_id", "event_type"]), "event_type", "event_id")
+
+
+@query(_DICT + "select event_id, code from events join k on event_type = k.value")
+def dict_codes(spark, d):
+    return dictionary.encode(_t(spark, d, "events", ["event_id", "event_type"]), "event_type", "event_id")
+
+
+@query(_DICT + "select event_id, code::smallint as code from events join k on event_type = k.value")
+def dict_codes_small(spark, d):
+    return dictionary.encode(_t(spark, d, "events", ["event_id", "event_type"]), "event_type", "event_id", small=True)
+
+
+@query("select event_id, event_type from events")
+def dict_decode(spark, d):
+    e = _t(spark, d, "events", ["event_id", "event_type"])
+    return dictionary.decode(dictionary.encode(e, "event_type", "event_id"), dictionary.dictionary(e, "event_type", "event_id"), "event_id", "event_type")
+
+
+@query("select l_orderkey, l_returnflag, l_quantity from lineitem where l_returnflag in ('A', 'N')")
+def predicate_on_dictionary(spark, d):
+    return dictionary.by_dictionary(_t(spark, d, "lineitem", ["l_orderkey", "l_returnflag", "l_quantity"]), "l_returnflag", lambda c: c.isin("A", "N"))
+
+
+@query("select count(distinct p_brand) as ndv, case when count(distinct p_brand) <= 1 then 0 else length(bin(count(distinct p_brand) - 1)) end::int as bits from part")
+def dict_bit_width(spark, d):
+    n = F.count_distinct("p_brand")
+    return _t(spark, d, "part", ["p_brand"]).agg(n.alias("ndv"), dictionary.bit_width(n).alias("bits"))
+
+
+# Encodings
+
+_RUNS = "with c as (select event_id, event_type, case when lag(event_type) over (order by event_id) is not distinct from event_type and event_id <> (select min(event_id) from events) then 0 else 1 end as s from events), g as (select *, sum(s) over (order by event_id) as run from c), runs as (select run::bigint as run, any_value(event_type) as value, count(*) as n from g group by run) "
+
+
+def _runs(spark, d):
+    return encodings.runs(_t(spark, d, "events", ["event_id", "event_type"]), "event_type", "event_id")
+
+
+query(_RUNS + "select run, value, n from runs", "rle_runs")(_runs)
+query(_RUNS + "select run, value, n from runs where n >= 3", "rle_threshold")(lambda s, d: _runs(s, d).where("n >= 3"))
+query(_RUNS + "select run, value, unnest(range(1, n + 1)) as at from runs", "rle_expand")(lambda s, d: encodings.expand(_runs(s, d)))
+
+_DELTA = "with e as (select o_orderkey, o_custkey - coalesce(lag(o_custkey) over (order by o_orderkey), 0) as delta, row_number() over (order by o_orderkey) - 1 as i from orders) "
+
+
+def _deltas(spark, d):
+    return encodings.deltas(_t(spark, d, "orders", ["o_orderkey", "o_custkey"]), "o_custkey", "o_orderkey")
+
+
+query(_DELTA + "select o_orderkey, delta from e", "delta_encode")(_deltas)
+query("select o_orderkey, o_custkey from orders", "delta_decode")(lambda s, d: encodings.undelta(_deltas(s, d), "o_orderkey", "o_custkey"))
+
+
+@query(_DELTA + "select (i - 1) // 128 as block, min(delta) as min_delta, case when max(delta) = min(delta) then 0 else length(bin(max(delta) - min(delta))) end::int as max_bits from e where i > 0 group by 1")
+def delta_block_min(spark, d):
+    return encodings.delta_blocks(_t(spark, d, "orders", ["o_orderkey", "o_custkey"]), "o_custkey", "o_orderkey")
+
+
+@query("""with p as (select c_custkey, c_name, lag(c_name) over (order by c_custkey) as b from customer), l as (select c_custkey, c_name,
+coalesce(list_max(list_filter(range(0, least(length(c_name), length(b)) + 1), lambda i: c_name[1:i] = b[1:i])), 0)::int as prefix from p) select c_custkey, prefix, substr(c_name, prefix + 1) as suffix from l""")
+def prefix_lengths(spark, d):
+    return encodings.prefixes(_t(spark, d, "customer", ["c_custkey", "c_name"]), "c_name", "c_custkey")
+
+
+@query("select doc_id, (sum(octet_length(encode(text))) over (order by doc_id) - octet_length(encode(text)))::bigint as begin_offset, (sum(octet_length(encode(text))) over (order by doc_id))::bigint as end_offset from documents")
+def byte_array_offsets(spark, d):
+    return encodings.offsets(_t(spark, d, "documents", ["doc_id", "text"]), "text", "doc_id")
+
+
+@query("select vec_id, i - 1 as at, case when i > 1 then 1 else 0 end as rep, 3 as def, embedding[i] as value from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings)", "list_levels")
+def list_levels(spark, d):
+    return encodings.levels(_t(spark, d, "embeddings", ["vec_id", "embedding"]), "embedding", "vec_id")
+
+
+# Statistics and Bloom filters
+
+for _name, _column in (("chunk_stats_double", "value"), ("chunk_stats_int", "user_id"), ("chunk_stats_string", "event_type")):
+    query(f"select event_id // 1000 as chunk, min({_column}) as lo, max({_column}) as hi, count(*) filter (where {_column} is null) as nulls, count(*) as n_rows from events group by 1", _name)(lambda s, d, c=_column: stats.chunk_stats(_t(s, d, "events", ["event_id", c]), c, F.floor(F.col("event_id") / 1000)))
+
+
+@query("select ndv, pow(2, ceil(log2(greatest(1, ceil(-8 * ndv / ln(1 - pow(0.01, 1.0 / 8)) / 256)))))::bigint as blocks from (select count(distinct o_custkey) as ndv from orders)")
+def bloom_blocks(spark, d):
+    n = F.count_distinct("o_custkey")
+    return _t(spark, d, "orders", ["o_custkey"]).agg(n.alias("ndv")).select("ndv", stats.bloom_blocks_column(F.col("ndv"), 0.01).alias("blocks"))
+
+
+# Writers: what is written is read again
+
+
+def _round_trip(name: str, table: str, columns: list[str], options: WriteOptions) -> None:
+    @query(f"select {', '.join(columns)} from {table}", name)
+    def run(spark, d):
+        out = _shared(spark)
+        write(_t(spark, d, table, columns), out, options)
+        return spark.read.parquet(out)
+
+
+for _codec in ("uncompressed", "snappy", "gzip", "zstd", "lz4_raw"):
+    _round_trip(f"writer_codec_{_codec}", "orders", ["o_orderkey", "o_totalprice", "o_orderpriority"], WriteOptions(codec=_codec))
+_round_trip("writer_zstd_level", "orders", ["o_orderkey", "o_orderpriority"], WriteOptions(codec="zstd", level=12))
+_round_trip("writer_per_column_codec", "orders", ["o_orderkey", "o_totalprice", "o_orderpriority"], WriteOptions(codec="snappy", codecs={"o_orderkey": "zstd", "o_orderpriority": "gzip"}))
+_round_trip("writer_v2", "lineitem", ["l_orderkey", "l_quantity", "l_returnflag"], WriteOptions(page_version=2))
+_round_trip("writer_dictionary", "lineitem", ["l_returnflag", "l_linestatus"], WriteOptions(dictionary={"l_returnflag": True}, dictionary_default=False))
+_round_trip("writer_row_groups", "orders", ["o_orderkey", "o_custkey"], WriteOptions(rows_per_group=1000))
+
+
+@query("select o_orderkey, o_custkey from orders where o_custkey = 77")
+def bloom_probe(spark, d):
+    out = _shared(spark)
+    write(_t(spark, d, "orders", ["o_orderkey", "o_custkey"]), out, WriteOptions(blooms={"o_custkey": (20_000, 0.01)}))
+    return spark.read.parquet(out).where("o_custkey = 77")
+
+
+@query("select g as row_group, count(*) as n_rows, min(o_orderkey) as lo, max(o_orderkey) as hi from (select o_orderkey, (row_number() over (order by o_orderkey) - 1) // 1000 as g from orders) group by g")
+def row_group_slices(spark, d):
+    rows = ordered.row_index(_t(spark, d, "orders", ["o_orderkey"]), "o_orderkey")
+    return rows.groupBy(F.floor(F.col("row_index") / 1000).alias("row_group")).agg(F.count("*").alias("n_rows"), F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+
+
+@query("select count(*) as n_rows from orders")
+def footers_summary(spark, d):
+    out = _shared(spark)
+    write(_t(spark, d, "orders", ["o_orderkey"]), out, WriteOptions(rows_per_group=1000))
+    return footers(spark, out).agg(F.sum("n_rows").alias("n_rows"))
+
+
+# Batches, streams, encryption
+
+
+@query("select (row_number() over (order by event_id) - 1) // 777 as batch, event_id from events")
+def batches(spark, d):
+    return stream.batches(_t(spark, d, "events", ["event_id"]), "event_id", 777).select("batch", "event_id")
+
+
+@query("select sum(n) as n, sum(v) as v from (select count(*) as n, sum(user_id)::bigint as v from events)")
+def arrow_batches(spark, d):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    e = _t(spark, d, "events", ["user_id"])
+    parts = stream.map_batches(e, lambda b: pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([pc.sum(b.column(0)).as_py()], pa.int64())], names=["n", "v"]), "n long, v long", 1000)
+    return parts.agg(F.sum("n").cast("decimal(38,0)").alias("n"), F.sum("v").cast("decimal(38,0)").alias("v"))
+
+
+@query("select event_id, user_id, event_type from events")
+def stream_scan(spark, d):
+    source = _shared(spark)
+    _t(spark, d, "events", ["event_id", "user_id", "event_type"]).write.parquet(source)
+    return stream.drain(stream.file_stream(spark, source), _shared(spark), _shared(spark))
+
+
+@query("select o_orderkey, o_orderpriority from orders")
+def aes_roundtrip(spark, d):
+    sealed = _t(spark, d, "orders", ["o_orderkey", "o_orderpriority"]).withColumn("o_orderpriority", crypto.encrypt(F.col("o_orderpriority"), KEY, AAD))
+    return sealed.withColumn("o_orderpriority", crypto.decrypt(F.col("o_orderpriority"), KEY, AAD).cast("string"))
+
+
+@query("select o_orderkey, o_orderpriority as fresh, null::varchar as old from orders")
+def key_rotation(spark, d):
+    new = KEY[::-1]
+    sealed = _t(spark, d, "orders", ["o_orderkey", "o_orderpriority"]).withColumn("o_orderpriority", crypto.encrypt(F.col("o_orderpriority"), KEY, AAD))
+    turned = crypto.rotate(sealed, "o_orderpriority", KEY, new, AAD)
+    return turned.select("o_orderkey", crypto.decrypt(F.col("o_orderpriority"), new, AAD).cast("string").alias("fresh"), crypto.try_decrypt(F.col("o_orderpriority"), KEY, AAD).cast("string").alias("old"))
