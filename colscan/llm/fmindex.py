@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .repeats import Repeats
-from .wordhash import Words
+from .wordhash import Words, slabs
 
 #: Words of a stretch, and of the pieces whose least hash names it.
 LENGTH, GRAM = 20, 10
@@ -49,10 +49,11 @@ class Wavelet:
         return i - self.base[symbol]
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of ``text`` ordered by the next ``depth`` symbols at least (prefix doubling)."""
+def suffix_order(text: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``text`` ordered by the next ``depth`` symbols at least (prefix doubling), and the rank of each place's
+    first ``seed`` symbols (a power of two) among all such."""
     rank, have = text.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
+    order, seeds = np.argsort(rank, kind="stable"), rank
     while have < depth:
         key = rank * (int(rank.max()) + 2)
         key[: len(key) - have] += rank[have:] + 1
@@ -61,55 +62,62 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         rank = np.empty_like(rank)
         rank[order] = np.cumsum(np.r_[0, s[1:] != s[:-1]])
         have *= 2
-    return order
+        if have == seed:
+            seeds = rank
+    return order, seeds
 
 
 class FMIndex:
-    """Index of a text whose symbol 0 parts the documents; answers patterns of up to ``depth`` symbols."""
+    """Index of a text whose symbol 0 parts the documents; answers patterns of up to ``depth`` symbols.
+
+    The intervals of all strings of ``seed`` symbols are kept as a table, so that a search takes up there.
+    """
 
     def __init__(self, text: np.ndarray, depth: int):
         sigma = int(text.max()) + 1
-        order = suffix_order(text, depth)
+        self.seed = 1 << (min(depth, 16).bit_length() - 1)
+        order, self.seeds = suffix_order(text, depth, self.seed)
+        self.first = np.r_[0, np.cumsum(np.bincount(self.seeds))]
+        self.text = text
         self.wavelet = Wavelet(text[order - 1], sigma)  # the Burrows-Wheeler transform; place 0 wraps to the last symbol
         self.below = np.r_[0, np.cumsum(np.bincount(text, minlength=sigma))]
-        self.size = len(text)
 
-    def intervals(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Backward search of the rows of ``patterns``: (first, end, symbols matched) of each.
+    def intervals(self, places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Backward search of the strings of ``width`` symbols at some places: (first, end, symbols matched) of each.
 
-        A pattern whose interval has shrunk to one place occurs nowhere else; its search ends there, so the number of
-        symbols is the matching statistic where it is below the pattern's length.
+        A string whose interval has shrunk to one place occurs nowhere else; its search ends there, so the number of
+        symbols is the matching statistic where it is between the seed's and the string's length.
         """
-        n, width = patterns.shape
-        lo, hi = np.zeros(n, np.int64), np.full(n, self.size)
-        matched = np.zeros(n, np.int64)
-        live = np.arange(n)
-        for j in range(width - 1, -1, -1):
-            c = patterns[live, j]
-            both = self.wavelet.rank(np.concatenate((c, c)), np.concatenate((lo[live], hi[live])))
-            lo[live], hi[live] = self.below[c] + both[: len(c)], self.below[c] + both[len(c) :]
-            go = hi[live] - lo[live] > 1
-            matched[live[go]] += 1
-            live = live[go]
+        skip = width - self.seed
+        group = self.seeds[places + skip]
+        lo, hi = self.first[group], self.first[group + 1]
+        live = np.flatnonzero(hi - lo > 1)
+        matched = np.where(hi - lo > 1, self.seed, 0)
+        for j in range(skip - 1, -1, -1):
             if not len(live):
                 break
+            c = self.text[places[live] + j]
+            both = self.wavelet.rank(np.concatenate((c, c)), np.concatenate((lo[live], hi[live])))
+            lo[live], hi[live] = self.below[c] + both[: len(c)], self.below[c] + both[len(c) :]
+            live = live[hi[live] - lo[live] > 1]
+            matched[live] += 1
         return lo, hi, matched
 
 
 def decide(job: Repeats, segments, ids, keys, start, size) -> np.ndarray:
     """Streams the segments through an index of them all; True at stretches that start earlier somewhere."""
-    w = Words(segments)
-    _, symbol = np.unique(w.hash, return_inverse=True)
+    parts = [(w.hash, np.diff(w.bounds)) for w in (Words(part) for _, part in slabs(segments, 1 << 20))]
+    _, symbol = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+    bounds = np.r_[0, np.cumsum(np.concatenate([n for _, n in parts]))]
     text = np.zeros(len(symbol) + len(segments), np.int64)
-    text[np.arange(len(symbol)) + w.doc] = symbol + 1
+    text[np.arange(len(symbol)) + np.repeat(np.arange(len(segments)), np.diff(bounds))] = symbol + 1
     index = FMIndex(text, job.length)
     of = np.repeat(np.arange(len(size)), size)
     at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-    place = w.bounds[:-1][of] + of + at
+    place = bounds[:-1][of] + of + at
     interval = np.full(len(of), -1)
     for a in range(0, len(of), BATCH):
-        p = text[place[a : a + BATCH, None] + np.arange(job.length)]
-        lo, _, matched = index.intervals(p)
+        lo, _, matched = index.intervals(place[a : a + BATCH], job.length)
         interval[a : a + BATCH] = np.where(matched == job.length, lo, -1 - np.arange(a, a + len(lo)))
     begin = start[of] + at
     order = np.lexsort((begin, keys[of], ids[of], interval))

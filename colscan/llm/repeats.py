@@ -29,7 +29,7 @@ from .common import staged, text_of
 from .wordhash import Words, encoded, mix, slabs, spans
 
 #: Bytes of text for each group of documents, and for each bucket of runs and index shard.
-GROUP_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
+GROUP_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
 #: Bytes whose runs are computed in one go, and stretches of a run.
 SLAB, LONGEST = 1 << 21, 50_000
 NO_ID = (1 << 63) - 1

@@ -90,14 +90,15 @@ def test_edges(spark):
 
 def test_fm_index_counts():
     r = np.random.default_rng(1)
-    text = r.integers(1, 6, 400)
-    index = fmindex.FMIndex(np.r_[text, 0], 8)
-    for n in (1, 3, 6):
-        p = np.array([text[i : i + n] for i in range(60)])
-        lo, hi, matched = index.intervals(p)
-        for q, a, b, m in zip(p, lo, hi, matched, strict=True):
-            want = sum((text[i : i + n] == q).all() for i in range(len(text) - n + 1))
-            assert want == b - a if m == n else want <= 1
+    text = r.integers(1, 3, 400)
+    for n in (16, 17, 20):
+        text[200 : 200 + n + 5] = text[: n + 5]
+        index = fmindex.FMIndex(np.r_[text, 0], 20)
+        lo, hi, matched = index.intervals(np.arange(60), n)
+        for i, (a, b, m) in enumerate(zip(lo, hi, matched, strict=True)):
+            want = sum((text[j : j + n] == text[i : i + n]).all() for j in range(len(text) - n + 1))
+            assert want == b - a if m == n else want == 1
+            assert (want > 1) == (m == n)
 
 
 def test_pack():
