@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 TYPES = {"int32": "<i4", "int64": "<i8", "float": "<f4", "double": "<f8"}
 
@@ -95,7 +96,9 @@ def hybrid_encode(values: np.ndarray, width: int, shortest: int = 8) -> bytes:
     """Runs of at least ``shortest`` become RLE; what lies between is bit-packed in groups of eight, taking what it
     lacks to a full group from the run that follows."""
     values = np.asarray(values, np.uint64)
-    cut = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, int)
+    if not len(values):
+        return b""
+    cut = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
     out, loose, at = bytearray(), 0, 0
 
     def flush(a: int, b: int) -> None:
@@ -196,17 +199,17 @@ class BlockBloom:
         return ((self.words[block] & mask) == mask).all(axis=1)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def hash_of(values: pd.Series) -> pd.Series:
     """Column form of ``parquet_hash``."""
     return values.map(lambda v: None if v is None else np.uint64(parquet_hash(v)).astype(np.int64)).astype("Int64")
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(ArrayType(LongType()))
 def hybrid_values(data: pd.Series, width: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([hybrid_decode(d, w, k).astype(np.int64) for d, w, k in zip(data, width, n, strict=True)])
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(ArrayType(LongType()))
 def delta_values(data: pd.Series) -> pd.Series:
     return data.map(delta_decode)
