@@ -61,4 +61,4 @@ def levels(df: DataFrame, column: str, key: str) -> DataFrame:
     """(key, rep, def, value) of a list column: rep 0 starts a list; def 0 null list, 1 empty, 2 null element, 3 value."""
     rows = df.select(key, F.col(column).isNull().alias("__none"), F.posexplode_outer(column).alias("__pos", "value"))
     defined = F.when(F.col("__none"), 0).when(F.col("__pos").isNull(), 1).when(F.col("value").isNull(), 2).otherwise(3)
-    return rows.select(key, F.coalesce(F.col("__pos"), F.lit(0)).alias("at"), F.when(F.col("__pos") > 0, 1).otherwise(0).alias("rep"), defined.alias("def"), "value")
+    return rows.select(key, F.coalesce(F.col("__pos"), F.lit(0)).cast("long").alias("at"), F.when(F.col("__pos") > 0, 1).otherwise(0).alias("rep"), defined.alias("def"), "value")

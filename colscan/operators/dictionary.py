@@ -14,7 +14,7 @@ def dictionary(df: DataFrame, column: str, key: str) -> DataFrame:
     Only the distinct values are put in one order, not the rows.
     """
     found = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(key).alias("first"))
-    return found.select((F.row_number().over(Window.orderBy("first")) - 1).alias("code"), "value", "first")
+    return found.select((F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("code"), "value", "first")
 
 
 def encode(df: DataFrame, column: str, key: str, small: bool = False) -> DataFrame:
