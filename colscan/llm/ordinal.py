@@ -7,6 +7,7 @@ every document in one pass without a shuffle.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from dataclasses import dataclass
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 
 #: Labelled documents used for fitting, at most.
 SAMPLE = 12_000
-#: Hashed features; those get a weight whose share differs by so many standard errors between the top grade and another.
-SIZE, SCREEN = 1 << 20, 7.0
+#: Hashed features. Those get a weight whose share of documents differs between the top grade and another by so many
+#: standard errors (that it is no accident) and by so many standard deviations (that it matters, however many the labels).
+SIZE, SCREEN, EFFECT = 1 << 20, 4.0, 0.3
 #: A document is kept if its probability of the top grade reaches this.
 KEEP = 0.5
 _WORD = re.compile(r"\w+")
@@ -28,8 +30,12 @@ _SHARES = (("symbols", "#*$%&|<>"), ("shouts", "!?"), ("digits", "0123456789"))
 
 
 def grades(quality: Column, toxic: Column) -> Column:
-    """0: poor, 1: good but toxic, 2: good; null where a label is missing."""
-    return F.when(quality.isNull() | toxic.isNull(), None).when(quality == 0, 0).when(toxic != 0, 1).otherwise(2)
+    """0: toxic, of whatever quality, 1: poor, 2: good; null where a label is missing.
+
+    The lowest grade is open below: a text may have any number of words that speak for it, while a middle grade is a
+    band of scores that such a text would fall through. So the grade that words tell apart comes first.
+    """
+    return F.when(quality.isNull() | toxic.isNull(), None).when(toxic != 0, 0).when(quality == 0, 1).otherwise(2)
 
 
 def _binned(name: str, share: float) -> str:
@@ -77,8 +83,8 @@ def screened(at: np.ndarray, column: np.ndarray, y: np.ndarray, n_grades: int) -
     for g in range(top):
         if n[g] and n[top]:
             both = (have[g] + have[top]) / (n[g] + n[top])
-            error = np.sqrt(both * (1 - both) * (1 / n[g] + 1 / n[top]))
-            used |= np.abs(have[g] / n[g] - have[top] / n[top]) > SCREEN * np.maximum(error, 1e-9)
+            spread = np.maximum(np.sqrt(both * (1 - both)), 1e-9)
+            used |= np.abs(have[g] / n[g] - have[top] / n[top]) > spread * max(EFFECT, SCREEN * math.sqrt(1 / n[g] + 1 / n[top]))
     used[zlib.crc32(b"\x00bias") % SIZE] = True
     return np.flatnonzero(used)
 
@@ -135,7 +141,7 @@ def train(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:
-    """(doc_id, expected_grade, p_good, p_top, kept) of every row: expected grade, P(grade>=1), P(grade>=2), verdict.
+    """(doc_id, expected_grade, p_middle, p_top, kept) of every row: expected grade, P(grade>=1), P(grade>=2), verdict.
 
     A null text counts as empty; repeated rows and null ids are scored like any row; empty tables give no rows.
     """
@@ -145,9 +151,9 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         memo: dict[str, tuple[int, ...]] = {}
         for b in batches:
             p = np.array([shared.value.tails(t, memo) for t in b.column(1).to_pylist()], dtype=np.float64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 1] >= keep)], names=["doc_id", "expected_grade", "p_good", "p_top", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 1] >= keep)], names=["doc_id", "expected_grade", "p_middle", "p_top", "kept"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, expected_grade double, p_good double, p_top double, kept boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, expected_grade double, p_middle double, p_top double, kept boolean")
 
 
 def select(docs: DataFrame, model: Model, text_col: str = "text", keep: float = KEEP) -> DataFrame:

@@ -153,6 +153,18 @@ def test_ordinal_held_out(spark):
     assert (np.diff(model.cuts) > 0).all()
 
 
+def test_ordinal_held_out_labels():
+    con = duckdb.connect()
+    sf = "/root/testdata/sf0.1"
+    rows = con.execute(f"select text, quality, toxic from '{sf}/documents.parquet' join '{sf}/labels.parquet' using (doc_id) order by hash(doc_id)").fetchall()
+    memo = {}
+    x, grade = [ordinal.features(t, memo) for t, *_ in rows], np.array([0 if toxic else 1 + q for _, q, toxic in rows])
+    model = ordinal.fit(x[:2600], grade[:2600])
+    top = np.array([1 / (1 + np.exp(model.cuts[-1] - model.weights[f].sum())) >= ordinal.KEEP for f in x[2600:]])
+    kept = [top[grade[2600:] == g].mean() for g in range(3)]
+    assert kept[0] < 0.03 and kept[1] < 0.04 and kept[2] > 0.98
+
+
 def test_ordinal_edges(spark):
     docs = spark.createDataFrame(ODD, SCHEMA)
     none = spark.createDataFrame([(1, None), (None, 2)], "doc_id long, grade int")
