@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .alike import SCHEMA, similar_links, sketches
 from .common import connected, partitions, staged
+from .wordhash import encoded
 
 #: Bits of the six fields, from the top; any two of them form an upper node.
 FIELDS = (11, 11, 11, 11, 10, 10)
@@ -62,6 +64,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def fingerprints_and_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """(doc_id, fp, key, bands, sketch) of every row: the fingerprint, and what ``alike`` compares."""
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            key, bands, sketch = zip(*(s or (None, None, None) for s in sketches(encoded(texts), width)), strict=True) if texts else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([simhash(t, width) for t in texts], pa.int64()), pa.array(key, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "fp", "key", "bands", "sketch"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, fp long, {SCHEMA}")
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Place of each unsigned 64-bit word in the reflected Gray sequence."""
     x = x.copy()
@@ -177,28 +191,35 @@ def links(distinct: DataFrame) -> DataFrame:
     return rows.repartition(n, "node").sortWithinPartitions("node").mapInArrow(_sweep, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, similar: bool = False) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; component_id is the smallest id that links reach.
 
+    Links are those of fingerprints and, if ``similar``, those of shingle sets that are alike (see ``alike``).
+
     Null and blank texts have fingerprint zero and link like any other. Equal rows are one node. A null id
     stands for no document: it is never a component_id unless a component has no other id. Empty tables give
     no rows; other columns are not read.
     """
-    rows = staged(fingerprints(docs, id_col, text_col, width))
+    rows = staged((fingerprints_and_sketches if similar else fingerprints)(docs, id_col, text_col, width))
     distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     # Each step below is over distinct fingerprints; copies come back in the last join alone.
-    root = connected(links(distinct)).withColumnRenamed("node", "fp")
+    edges = links(distinct)
+    if similar:
+        edges = edges.unionByName(similar_links(rows))
+    root = connected(edges).withColumnRenamed("node", "fp")
     known = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = known.groupBy("root").agg(F.min("rep").alias("component_id"))
     known = known.join(lowest, "root").select("fp", "component_id")
-    return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.select("doc_id", "fp").join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """The rows of ``docs`` whose document is the first of its component; of rows with one id a single one stays.
 
+    Documents are linked by fingerprints or by five-word shingles of which they share four fifths.
+
     Rows without an id cannot be told apart by it; all of them stay.
     """
-    first = near_duplicates(docs, id_col, text_col, width).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    first = near_duplicates(docs, id_col, text_col, width, similar=True).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     named = docs.join(first, docs[id_col] == first["__id"], "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.where(F.col(id_col).isNull()))

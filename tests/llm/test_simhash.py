@@ -16,8 +16,19 @@ def slow_fingerprint(text, width=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def brute(fps):
-    """{doc: smallest reachable doc} for {doc: fingerprint}."""
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def brute(fps, sets=None):
+    """{doc: smallest reachable doc} for {doc: fingerprint}; with ``sets``, over a similarity of 0.8 of these too."""
+
+    def linked(x, y):
+        if sets and sets[x] and 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]):
+            return True
+        return bin(fps[x] ^ fps[y]).count("1") <= 4
+
     ids, out = sorted(fps), {}
     for d in ids:
         if d in out:
@@ -26,7 +37,7 @@ def brute(fps):
         while todo:
             x = todo.pop()
             for y in ids:
-                if y not in out and bin(fps[x] ^ fps[y]).count("1") <= 4:
+                if y not in out and linked(x, y):
                     out[y] = d
                     todo.append(y)
     return out
