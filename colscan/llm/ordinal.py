@@ -74,11 +74,13 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.cuts - self.weights[features(text, memo)].sum(dtype=np.float64), -50, 50)))
 
 
-def screened(at: np.ndarray, column: np.ndarray, y: np.ndarray, n_grades: int) -> np.ndarray:
+def screened(rows: list[np.ndarray], y: np.ndarray, n_grades: int) -> np.ndarray:
     """Features whose document share in some grade differs clearly from that in the top grade."""
     top = n_grades - 1
     n = np.bincount(y, minlength=n_grades)
-    have = [np.bincount(column[y[at] == g], minlength=SIZE) for g in range(n_grades)]
+    have = np.zeros((n_grades, SIZE), np.int32)
+    for r, g in zip(rows, y.tolist(), strict=True):
+        have[g, r] += 1  # a row holds each feature once
     used = np.zeros(SIZE, dtype=bool)
     for g in range(top):
         if n[g] and n[top]:
@@ -94,12 +96,11 @@ def fit(rows: list[np.ndarray], y: np.ndarray, n_grades: int = 3, rounds: int =
     cuts0 = np.linspace(-4, -1, n_grades - 1)
     if len(np.unique(y)) < 2:
         return Model(np.zeros(SIZE, np.float32), cuts0)
-    at, column = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows]), np.concatenate(rows)
-    used = screened(at, column, y, n_grades)
+    used = screened(rows, y, n_grades)
     place = np.full(SIZE, -1)
     place[used] = np.arange(len(used))
-    keep = place[column] >= 0
-    at, column = at[keep], place[column[keep]]
+    rows = [p[p >= 0] for p in (place[r] for r in rows)]
+    at, column = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
     importance = (len(y) / (n_grades * np.maximum(1, np.bincount(y, minlength=n_grades))))[y] ** 0.5
     importance /= importance.sum()
     x = np.r_[np.zeros(len(used)), cuts0[0], np.log(np.diff(cuts0))]
@@ -136,8 +137,9 @@ def train(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: s
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = texts.join(F.broadcast(picked), "doc_id").mapInArrow(run, "doc_id long, row binary, grade int")  # at most ``sample`` ids are broadcast
-    rows = sorted(((r.doc_id, bytes(r.row), r.grade) for r in found.collect()))[:sample]
-    return fit([np.frombuffer(r, np.int32) for _, r, _ in rows], np.array([g for *_, g in rows], dtype=np.int64))
+    # One row of an id, however often it is repeated; so at most ``sample`` rows reach the driver.
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("row", "grade")).alias("r")).select("doc_id", "r.*").toArrow().sort_by("doc_id")
+    return fit([np.frombuffer(r.as_buffer(), np.int32) for r in rows.column("row")], rows.column("grade").to_numpy().astype(np.int64))
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:

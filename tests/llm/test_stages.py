@@ -165,6 +165,13 @@ def test_ordinal_held_out_labels():
     assert kept[0] < 0.03 and kept[1] < 0.04 and kept[2] > 0.98
 
 
+def test_ordinal_takes_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(1, "good words here"), (2, "bad bad bad"), *[(1, "good words here")] * 500], "doc_id long, text string")
+    rated = spark.createDataFrame([(1, 2), (2, 0)], "doc_id long, grade int")
+    once = ordinal.train(docs.distinct(), rated)
+    assert (ordinal.train(docs, rated).weights == once.weights).all()
+
+
 def test_ordinal_edges(spark):
     docs = spark.createDataFrame(ODD, SCHEMA)
     none = spark.createDataFrame([(1, None), (None, 2)], "doc_id long, grade int")
@@ -178,7 +185,7 @@ def test_ordinal_edges(spark):
 def test_pipeline_stage_by_stage(spark):
     from colscan.llm.common import table
 
-    from .test_simhash import brute, slow_fingerprint
+    from .test_simhash import brute, shingles, slow_fingerprint
 
     docs = table(spark, SF, "documents")
     stages = dict(corpus_pipeline.STAGES)
@@ -188,7 +195,7 @@ def test_pipeline_stage_by_stage(spark):
     graded = spark.createDataFrame(graded, docs.schema)
     single = stages["near duplicates"](spark, graded, SF).collect()
     fps = {r.doc_id: slow_fingerprint(r.text, 5) for r in graded.collect()}
-    assert {r.doc_id for r in single} == set(brute(fps).values())
+    assert {r.doc_id for r in single} == set(brute(fps, {r.doc_id: shingles(r.text) for r in graded.collect()}).values())
     single = spark.createDataFrame(single, docs.schema)
     pure = stages["decontamination"](spark, single, SF).collect()
     leaks = {d for d, _ in brute_leaks([(r.doc_id, r.text) for r in single.collect()], [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()])}
