@@ -22,6 +22,8 @@ BANDS, PER_BAND = 16, 4
 LEAST, AGREE = 256, 38
 #: Texts of a bucket in one group; beyond that the bucket is tiled over more groups. Rows of the table in a task.
 TILE, TASK_ROWS = 16_384, 50_000
+#: Bytes of text whose shingles are hashed in one go.
+SLAB = 1 << 20
 #: Similarity of a link, as a fraction.
 SIMILAR = (4, 5)
 _MUL = mix(np.arange(1, BANDS * PER_BAND + 1, dtype=np.uint64)) | np.uint64(1)
@@ -35,7 +37,7 @@ def sketches(texts: list[bytes], width: int) -> list[tuple[int, np.ndarray, byte
     A sketch is a byte of each minimum, then the number of shingles and the ``LEAST`` least of their hashes, 32 bits each.
     """
     out: list = [None] * len(texts)
-    for first, part in slabs([t.lower() for t in texts]):
+    for first, part in slabs([t.lower() for t in texts], SLAB):
         w = Words(part)
         gram, at = w.grams(width)
         if not len(gram):

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
 from .wordhash import Words, encoded, mix, slabs
 
 #: Words of a shingle; shingles of an item that a document must hold.
@@ -132,7 +133,7 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     for items in blocks(bench, item_col):
 
         def run(batches, items=items):
-            for b in batches:
+            for b in sliced(batches):
                 ids, rows = b.column(0), list(items.found(b.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["doc_id", "item_id", "containment"])
 
@@ -146,7 +147,7 @@ def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text") -> DataFram
     for items in blocks(bench):
 
         def run(batches, items=items, at=docs.columns.index(text_col)):
-            for b in batches:
+            for b in sliced(batches):
                 keep = np.ones(b.num_rows, dtype=bool)
                 keep[[i for i, _, _ in items.found(b.column(at).to_pylist())]] = False
                 yield b.filter(pa.array(keep))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 #: Labelled documents used for fitting, at most.
 SAMPLE = 12_000
 #: Hashed features. Those get a weight whose share of documents differs between the top grade and another by so many
@@ -131,7 +133,7 @@ def train(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         memo: dict[str, tuple[int, ...]] = {}
-        for b in batches:
+        for b in sliced(batches):
             rows = [features(t, memo).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary()), b.column(2)], names=["doc_id", "row", "grade"])
 
@@ -151,7 +153,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         memo: dict[str, tuple[int, ...]] = {}
-        for b in batches:
+        for b in sliced(batches):
             p = np.array([shared.value.tails(t, memo) for t in b.column(1).to_pylist()], dtype=np.float64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 1] >= keep)], names=["doc_id", "expected_grade", "p_middle", "p_top", "kept"])
 
@@ -164,7 +166,7 @@ def select(docs: DataFrame, model: Model, text_col: str = "text", keep: float =
 
     def run(batches):
         memo: dict[str, tuple[int, ...]] = {}
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array([bool(shared.value.tails(t, memo)[-1] >= keep) for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .alike import SCHEMA, similar_links, sketches
-from .common import connected, partitions, staged
+from .common import connected, partitions, sliced, staged
 from .wordhash import encoded
 
 #: Bits of the six fields, from the top; any two of them form an upper node.
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp) of every row; a null or blank text has fingerprint zero."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([simhash(t, width) for t in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -68,7 +68,7 @@ def fingerprints_and_sketches(docs: DataFrame, id_col: str = "doc_id", text_col:
     """(doc_id, fp, key, bands, sketch) of every row: the fingerprint, and what ``alike`` compares."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(1).to_pylist()
             key, bands, sketch = zip(*(s or (None, None, None) for s in sketches(encoded(texts), width)), strict=True) if texts else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([simhash(t, width) for t in texts], pa.int64()), pa.array(key, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "fp", "key", "bands", "sketch"])
