@@ -25,13 +25,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import sliced, staged, text_of
 from .wordhash import Words, encoded, mix, slabs, spans
 
 #: Bytes of text for each group of documents, and for each bucket of runs and index shard.
 GROUP_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
 #: Bytes whose runs are computed in one go, and stretches of a run.
-SLAB, LONGEST = 1 << 21, 50_000
+SLAB, LONGEST = 1 << 19, 50_000
+#: Documents whose runs are packed together.
+BATCH_ROWS = 4096
 NO_ID = (1 << 63) - 1
 ROW = "kind int, part int, blob binary"
 
@@ -101,6 +103,10 @@ class Repeats:
     def clean(self, text: bytes) -> bytes:
         return b" ".join(text.split()) if self.words else text
 
+    def cleaned(self, batch: pa.RecordBatch) -> list[bytes]:
+        """The texts of a batch; only a slice of them is held as strings too."""
+        return [self.clean(t) for part in sliced([batch]) for t in encoded(part.column(2).to_pylist())]
+
     def runs(self, texts: list[bytes]):
         """(hash, text, start, stretches) of every run."""
         found = []
@@ -156,9 +162,9 @@ class Repeats:
 
     def find(self, batches):
         """Step 1, by batch of documents. Kind 0: runs for a bucket; kind 1: runs known to be repeated, for their documents."""
-        for b in batches:
+        for b in sliced(batches, BATCH_ROWS):
             ids, keys = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            h, doc, start, size = self.runs([self.clean(t) for t in encoded(b.column(2).to_pylist())])
+            h, doc, start, size = self.runs(self.cleaned(b))
             again = self.known(h, ids[doc])
             bucket = (h % np.uint64(self.shards)).astype(np.int64)
             out = []
@@ -195,7 +201,7 @@ class Repeats:
         """Documents packed for their group."""
         for b in batches:
             ids, keys = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            texts = [self.clean(t) for t in encoded(b.column(2).to_pylist())]
+            texts = self.cleaned(b)
             yield rows([(0, p, pack(ids[i], keys[i], np.array([len(texts[j]) for j in i]), b"".join(texts[j] for j in i))) for p, (i,) in by_part(self.group(ids, keys), np.arange(len(ids)))])
 
     @staticmethod

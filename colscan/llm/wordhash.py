@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text handled in one go (one longer text is still taken whole).
-SLAB = 4 << 20
+SLAB = 1 << 20
 _R = 0x9E3779B97F4A7C15 | 1
 _RINV = pow(_R, -1, 1 << 64)
 #: True at bytes that belong to words: all but space and tab to carriage return.
