@@ -93,10 +93,10 @@ class Bytes:
 class Repeats:
     """The pipeline of the module for one kind of unit; made on the driver, used in tasks."""
 
-    def __init__(self, length: int, gram: int, words: bool, within: bool, decide: Callable):
+    def __init__(self, length: int, gram: int, words: bool, within: bool, decide: Callable, shard_bytes: int = SHARD_BYTES):
         """within: an earlier start in the same document counts too. decide(segments, ids, keys, starts, counts):
         for each segment's ``counts`` stretches, one after the other, whether an equal one starts earlier."""
-        self.length, self.gram, self.words, self.within, self.decide = length, gram, words, within, decide
+        self.length, self.gram, self.words, self.within, self.decide, self.shard_bytes = length, gram, words, within, decide, shard_bytes
         self.groups = self.shards = 1
 
     def units(self, texts: list[bytes]):
@@ -303,7 +303,7 @@ class Repeats:
         text = text_of(text_col)
         slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
         total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-        self.groups, self.shards = max(1, -(-total // GROUP_BYTES)), max(1, -(-total // SHARD_BYTES))
+        self.groups, self.shards = max(1, -(-total // GROUP_BYTES)), max(1, -(-total // self.shard_bytes))
         find, match, texts, extract, index, rebuild = (getattr(self, n) for n in ("find", "match", "texts", "extract", "index", "rebuild"))
         side = F.when(F.col("kind") == 1, 1).otherwise(0)
         runs = staged(slim.mapInArrow(lambda b: find(b), ROW).groupBy(side.alias("side"), "part").applyInArrow(lambda k, t: match(k, t.select(["kind", "part", "blob"])), ROW).where("kind = 1"))

@@ -12,6 +12,8 @@ from .repeats import Repeats
 LENGTH, GRAM = 50, 24
 #: Suffixes of a batch.
 BATCH = 1 << 16
+#: Bytes of text for each shard; each group of documents sends a packed row to each shard, so few are better.
+SHARD_BYTES = 16 << 20
 
 
 class Family:
@@ -77,5 +79,5 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id are never earlier than each other. A null id comes after all others; null texts are empty. Empty tables give
     no rows.
     """
-    out = Repeats(length, min(GRAM, length // 2), False, False, decide)(docs, id_col, text_col)
+    out = Repeats(length, min(GRAM, length // 2), False, False, decide, SHARD_BYTES)(docs, id_col, text_col)
     return out.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", "kept")
