@@ -65,13 +65,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def fingerprints_and_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(doc_id, fp, key, bands, sketch) of every row: the fingerprint, and what ``alike`` compares."""
+    """(doc_id, fp, key, bands, bytes) of every row: the fingerprint, the shingle set's hash and buckets, the sketch's length."""
 
     def run(batches):
         for b in sliced(batches):
             texts = b.column(1).to_pylist()
             key, bands, sketch = zip(*(s or (None, None, None) for s in sketches(encoded(texts), width)), strict=True) if texts else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([simhash(t, width) for t in texts], pa.int64()), pa.array(key, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "fp", "key", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([simhash(t, width) for t in texts], pa.int64()), pa.array(key, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array([s and len(s) for s in sketch], pa.int64())], names=["doc_id", "fp", "key", "bands", "bytes"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, fp long, {SCHEMA}")
 
@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Each step below is over distinct fingerprints; copies come back in the last join alone.
     edges = links(distinct)
     if similar:
-        edges = edges.unionByName(similar_links(rows))
+        edges = edges.unionByName(similar_links(rows, docs, text_col))
     root = connected(edges).withColumnRenamed("node", "fp")
     known = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = known.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -1,0 +1,40 @@
+import random
+
+import numpy as np
+
+from colscan.llm import alike
+from colscan.llm.simhash import keep_one
+
+from .test_simhash import shingles
+
+
+def pair(r, own, common):
+    """Two texts of ``own`` shingles each that share ``common``."""
+    word = lambda: f"w{r.randrange(10**9)}"
+    head = [word() for _ in range(common + 4)]
+    return [" ".join(head + [word() for _ in range(own - common)]) for _ in range(2)]
+
+
+def pairs():
+    """Long pairs at exactly 0.8, and one shingle below."""
+    r = random.Random(7)
+    return [pair(r, own, own * 8 // 9 - d) for own in (450, 900, 1800) for d in (0, 1) for _ in range(8)]
+
+
+def test_long_texts_are_decided_exactly():
+    for texts in pairs():
+        a, b = (shingles(t) for t in texts)
+        made = [s[2] for s in alike.sketches([t.encode() for t in texts], 5)]
+        assert alike.alike(*(np.frombuffer(s, np.uint32, offset=64) for s in made)) == (5 * len(a & b) >= 4 * len(a | b))
+
+
+def test_long_copies_in_documents(spark, monkeypatch):
+    monkeypatch.setattr(alike, "TILE_BYTES", 10_000)
+    found = pairs()
+    texts = [t for p in found for t in p]
+    kept = {r.doc_id for r in keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = set()
+    for i, (a, b) in enumerate(found):
+        a, b = shingles(a), shingles(b)
+        want |= {2 * i} if 5 * len(a & b) >= 4 * len(a | b) else {2 * i, 2 * i + 1}
+    assert kept == want and len(want) < len(texts)
