@@ -1,6 +1,10 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
-Test items are partitioned by their number of shingles, each partition up to twice the size of the one
+Test items of up to ``SMALLEST`` shingles are too small for minima of windows and are looked up exactly: an item of n
+shingles that a document holds to ``THRESHOLD`` misses less than (1 - ``THRESHOLD``) n of them, so the document has at
+least one of any so many and one more. An item of one to four words is looked up as that run of words.
+
+Longer items are partitioned by their number of shingles, each partition up to twice the size of the one
 before. For a partition of up to u shingles, every document is seen as overlapping windows of 1.5 u
 shingles, u/2 apart, so a copied item lies whole in one window and the Jaccard similarity of item and window
 is bounded from below (0.25 in the worst case, a containment of 0.8 of the smallest item of its partition).
@@ -18,43 +22,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import sliced
-from .wordhash import Words, encoded, mix, slabs
+from .wordhash import Words, encoded, mix, slabs, spans
 
 #: Words of a shingle; shingles of an item that a document must hold.
 WIDTH, THRESHOLD = 5, 0.8
 PERMUTATIONS = 32
-#: Shingles of the smallest size partition.
+#: Shingles of the largest items that are looked up exactly; the size partitions begin above.
 SMALLEST = 16
 #: Test items searched for in one pass over the documents; this bounds what each task is sent.
 ITEMS = 20_000
+#: Low bits of a hash that a bitmap holds, so that most places of a text are passed over at once.
+_LOW = np.uint64((1 << 20) - 1)
 _MUL = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix(np.arange(1001, PERMUTATIONS + 1001, dtype=np.uint64))
 
 
 def shingles(texts: list[str | None]) -> list[np.ndarray]:
     """Distinct shingle hashes of each text, A-Z lower-cased; a text of one to four words is one shingle."""
-    w = Words([t.lower() for t in encoded(texts)])
+    return _shingles(Words([t.lower() for t in encoded(texts)]), len(texts))
+
+
+def _shingles(w: Words, n: int) -> list[np.ndarray]:
     gram, at = w.grams(WIDTH)
     doc = w.doc[at]
-    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+    cut = np.searchsorted(doc, np.arange(n + 1))
     return [np.unique(gram[a:b]) if b > a else short(w, i) for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False))]
 
 
 def short(w: Words, i: int) -> np.ndarray:
     """The one shingle of a text of fewer than five words."""
-    own = w.hash[w.bounds[i] : w.bounds[i + 1]]
-    return np.array([mix(np.bitwise_xor.reduce(mix(own + np.arange(len(own), dtype=np.uint64)), keepdims=True))[0]], dtype=np.uint64) if len(own) else own
+    a, b = w.bounds[i : i + 1], w.bounds[i + 1 : i + 2]
+    return spans(w.hash, a, b) if b > a else w.hash[:0]
+
+
+
+class Exact:
+    """Hashes and the items that have them."""
+
+    def __init__(self, found: list[tuple[int, int]]):
+        self.hash, self.item = np.array([h for h, _ in found], dtype=np.uint64), np.array([i for _, i in found], dtype=np.int64)
+        order = np.argsort(self.hash)
+        self.hash, self.item = self.hash[order], self.item[order]
+        self.seen = np.zeros(int(_LOW) + 1, dtype=bool)
+        self.seen[self.hash & _LOW] = True
+
+    def pairs(self, gram: np.ndarray, doc: np.ndarray) -> set[tuple[int, int]]:
+        """Pairs of a text and an item that has one of its hashes."""
+        hit = np.flatnonzero(self.seen[gram & _LOW])
+        left, right = np.searchsorted(self.hash, gram[hit], "left"), np.searchsorted(self.hash, gram[hit], "right")
+        n = right - left
+        at = np.repeat(left - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else left
+        return set(zip(np.repeat(doc[hit], n).tolist(), self.item[at].tolist(), strict=True))
 
 
 class Items:
     """Signatures of a bounded block of test items, by size partition."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
-        self.sets = dict(enumerate(shingles(texts)))
+        w = Words([t.lower() for t in encoded(texts)])
+        self.sets = dict(enumerate(_shingles(w, len(texts))))
         self.ids = ids
+        n_words = np.diff(w.bounds)
+        #: number of words -> items of so many, under ``WIDTH``
+        self.short = {k: Exact([(self.sets[i][0], i) for i in np.flatnonzero(n_words == k).tolist()]) for k in range(1, WIDTH) if (n_words == k).any()}
+        small = [i for i, s in self.sets.items() if n_words[i] >= WIDTH and len(s) <= SMALLEST]
+        #: items of up to ``SMALLEST`` shingles, under as many of their shingles as a document cannot miss all of
+        self.small = Exact([(h, i) for i in small for h in self.sets[i][: len(self.sets[i]) - int(np.ceil(THRESHOLD * len(self.sets[i]) - 1e-9)) + 1].tolist()])
         levels: dict[int, list[int]] = {}
         for i, s in self.sets.items():
-            if len(s):
+            if len(s) > SMALLEST:
                 levels.setdefault(max(0, int(np.ceil(np.log2(len(s) / SMALLEST)))), []).append(i)
         #: level -> for each permutation (sorted minima, the items that have them, a bitmap of their low bits)
         self.levels = {}
@@ -77,15 +113,15 @@ class Items:
         w = Words(texts)
         gram, at = w.grams(WIDTH)
         doc = w.doc[at]
-        tiny = np.flatnonzero((np.diff(w.bounds) > 0) & (np.diff(w.bounds) < WIDTH))
-        gram = np.concatenate((gram, *(short(w, i) for i in tiny)))
-        doc = np.concatenate((doc, tiny))
-        order = np.argsort(doc, kind="stable")
-        gram, doc = gram[order], doc[order]
+        whole = []
+        for k, items in self.short.items():
+            runs, first = w.grams(k)
+            whole += items.pairs(runs, w.doc[first])
+        yield from ((i, j, 1.0) for i, j in sorted(set(whole)))
         if not len(gram):
             return
         begins = np.searchsorted(doc, np.arange(len(texts) + 1))
-        pairs = set()
+        pairs = self.small.pairs(gram, doc)
         within = np.arange(len(gram)) - begins[doc]
         starts = np.flatnonzero(within % (SMALLEST // 2) == 0)
         for n, (mul, add) in enumerate(zip(_MUL, _ADD, strict=True)):
@@ -125,7 +161,7 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     """(doc_id, item_id, containment) for each document that holds at least ``THRESHOLD`` of an item's shingles.
 
     Case of A-Z and the kind of white space do not matter. Null and blank texts match nothing. An item of one to
-    four words is one shingle and matches a document of just these words. Repeated rows report each for itself;
+    four words is one shingle and matches a document with this run of words. Repeated rows report each for itself;
     an empty table on either side gives no rows.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
