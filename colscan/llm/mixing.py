@@ -57,8 +57,8 @@ def weights(totals: dict, repeats: float = REPEATS, entropy: float | None = None
         lower = x
         x = 1.0 if not within(1.0) else max(lower, bisect(lambda e: not within(e)) + 1e-15)
     w, passes = at(x) if sized else ({}, {})
-    if budget is not None:
-        passes = {s: min(v, repeats) for s, v in passes.items()}
+    # Without a budget the least weighted source has one pass; floating point may give a little less.
+    passes = {s: max(v, 1.0) if budget is None else min(v, repeats) for s, v in passes.items()}
     return x, {s: w.get(s, 0.0) for s in totals}, {s: passes.get(s, 1.0) for s in totals}
 
 
