@@ -14,8 +14,8 @@ from .common import staged
 
 #: (verdict, host/path) rules; the longest that fits wins.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Longest context in characters; size of the hashed tables of contexts and of context-and-character pairs.
-ORDER, SIZE = 5, 1 << 20
+#: Longest context in bytes.
+ORDER = 5
 #: Bins of the score differences of rule-judged urls, over [-SPAN, SPAN].
 BINS, SPAN = 2000, 4.0
 
@@ -43,68 +43,78 @@ def with_rules(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame
 
 
 def _codes(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed (context, context and character) of each order and place: arrays [place, order], and each place's url."""
+    """Literal context and byte of each place and order, as order << 48 | context << 8 | byte [place, order], and each place's url."""
     data = [re.sub(r"^[a-z]+://", "", (u or "").lower()).encode("utf-8", "surrogatepass") + b"\n" for u in urls]
     flat = np.frombuffer(b"".join(b"\n" * ORDER + d for d in data), np.uint8).astype(np.uint64)
     owner = np.repeat(np.arange(len(data)), [len(d) for d in data])
     first = np.cumsum([0, *(len(d) + ORDER for d in data)])[:-1]
     place = np.arange(len(owner)) - np.repeat(np.cumsum([0, *map(len, data)])[:-1], [len(d) for d in data]) + np.repeat(first, [len(d) for d in data]) + ORDER
     context = np.zeros(len(place), np.uint64)
-    contexts, pairs = [], []
+    pairs = []
     for k in range(ORDER + 1):
         if k:
-            context = (context + flat[place - k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
-        h = context ^ (context >> np.uint64(29))
-        contexts.append((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44))
-        pairs.append(((h + flat[place] * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x94D049BB133111EB)) >> np.uint64(44))
-    return np.column_stack(contexts).astype(np.int64), np.column_stack(pairs).astype(np.int64), owner
+            context = context | flat[place - k] << np.uint64(8 * (k - 1))
+        pairs.append(np.uint64(k << 48) | context << np.uint64(8) | flat[place])
+    return np.column_stack(pairs).astype(np.int64), owner
+
+
+def _at(keys: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The value of each ``x`` among sorted keys, 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(x))
+    i = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return np.where(keys[i] == x, values[i], 0)
 
 
 @dataclass
 class Ratio:
     """Two Markov models of variable order, each smoothed down to the uniform one; counts of (class, order)."""
 
-    contexts: np.ndarray  # [class, SIZE] counts of hashed contexts
-    pairs: np.ndarray
-    kinds: np.ndarray  # [class, SIZE] different characters seen after a context
+    pairs: list  # for each class (sorted order, context and byte; their counts)
+    contexts: list  # for each class (sorted order and context; their counts; different bytes seen after them)
     cut: float = 0.0
 
     def scores(self, urls: list[str | None]) -> np.ndarray:
         """Mean log-likelihood difference a character: accepted over rejected."""
         if not urls:
             return np.zeros(0)
-        contexts, pairs, owner = _codes(urls)
+        codes, owner = _codes(urls)
+        distinct, place = np.unique(codes, return_inverse=True)
+        place = place.reshape(codes.shape)
         logs = []
         for c in (0, 1):
             p = np.full(len(owner), 1 / 256)
+            keys, counts, kinds = self.contexts[c]
+            of = [_at(keys, counts, distinct >> 8), _at(keys, kinds, distinct >> 8), _at(*self.pairs[c], distinct)]
             for k in range(ORDER + 1):  # Witten-Bell: each order backs off by the variety seen after its context
-                n, t, hit = self.contexts[c][contexts[:, k]], self.kinds[c][contexts[:, k]], self.pairs[c][pairs[:, k]]
+                n, t, hit = (v[place[:, k]] for v in of)
                 p = np.where(n > 0, (hit + t * p) / np.maximum(n + t, 1), p)
             logs.append(np.log(np.maximum(p, 1e-12)))
         return np.bincount(owner, logs[1] - logs[0], len(urls)) / np.bincount(owner, minlength=len(urls))
 
 
 def counted(judged: DataFrame, url_col: str) -> Ratio:
-    """The counts over all urls that a rule has judged; hashed, so that the model has a fixed size."""
+    """The counts over all urls that a rule has judged: of each distinct context and byte, so the model grows with their number."""
 
     def run(batches):
         for b in batches:
             kinds = np.array([v == "allow" for v in b.column(1).to_pylist()], bool)
-            contexts, pairs, owner = _codes(b.column(0).to_pylist())
+            codes, owner = _codes(b.column(0).to_pylist())
             for c in (0, 1):
                 mine = kinds[owner] == c
-                joint, n = np.unique(contexts[mine].ravel() * SIZE + pairs[mine].ravel(), return_counts=True)
+                joint, n = np.unique(codes[mine].ravel(), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), c), pa.int32()), pa.array(joint), pa.array(n)], names=["c", "joint", "n"])
 
     rows = judged.select(F.col(url_col).cast("string"), "by_rule").mapInArrow(run, "c int, joint long, n long").groupBy("c", "joint").agg(F.sum("n").alias("n"))
-    # Summed again for each table slot before anything reaches the driver: at most 2 * 2 * SIZE rows.
-    by_context = rows.groupBy("c", F.expr(f"joint div {SIZE}").cast("int").alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    by_pair = rows.groupBy("c", F.expr(f"joint % {SIZE}").cast("int").alias("slot")).agg(F.sum("n").alias("n"))
-    model = Ratio(*(np.zeros((2, SIZE), np.float32) for _ in range(3)))
-    for t, into in ((by_context.toArrow(), model.contexts), (by_pair.toArrow(), model.pairs)):
-        into[t.column("c").to_numpy(), t.column("slot").to_numpy()] = t.column("n").to_numpy()
-        if "kinds" in t.column_names:
-            model.kinds[t.column("c").to_numpy(), t.column("slot").to_numpy()] = t.column("kinds").to_numpy()
+    t = rows.toArrow()
+    c, joint, n = (t.column(x).to_numpy() for x in ("c", "joint", "n"))
+    model = Ratio([], [])
+    for kind in (0, 1):
+        mine = np.flatnonzero(c == kind)
+        mine = mine[np.argsort(joint[mine])]
+        keys, starts, kinds = np.unique(joint[mine] >> 8, return_index=True, return_counts=True)
+        model.pairs.append((joint[mine], n[mine]))
+        model.contexts.append((keys, np.add.reduceat(n[mine], starts) if len(starts) else n[mine], kinds))
     return model
 
 
