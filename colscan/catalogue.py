@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import crypto, encodings
 from .operators import adaptive, dictionary, masks, ordered, stats
 from .plans.tpch import promo_share
+from .session import shared_dir
 from .sources.scan import footers, scan
 from .sources.writer import WriteOptions, write
 from .streaming import stream
@@ -45,12 +44,6 @@ def _t(spark: SparkSession, sf_dir: str, name: str, columns: list[str | int] | N
     return scan(spark, f"{sf_dir}/{name}.parquet", columns)
 
 
-def _shared(spark: SparkSession) -> str:
-    """A fresh path in the folder that all executors share; a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='colscan-')}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 # Plans and scans
 
 
@@ -267,7 +260,7 @@ def bloom_blocks(spark, d):
 def _round_trip(name: str, table: str, columns: list[str], options: WriteOptions) -> None:
     @query(f"select {', '.join(columns)} from {table}", name)
     def run(spark, d):
-        out = _shared(spark)
+        out = shared_dir(spark)
         write(_t(spark, d, table, columns), out, options)
         return spark.read.parquet(out)
 
@@ -283,7 +276,7 @@ _round_trip("writer_row_groups", "orders", ["o_orderkey", "o_custkey"], WriteOpt
 
 @query("select o_orderkey, o_custkey from orders where o_custkey = 77")
 def bloom_probe(spark, d):
-    out = _shared(spark)
+    out = shared_dir(spark)
     write(_t(spark, d, "orders", ["o_orderkey", "o_custkey"]), out, WriteOptions(blooms={"o_custkey": (20_000, 0.01)}))
     return spark.read.parquet(out).where("o_custkey = 77")
 
@@ -296,7 +289,7 @@ def row_group_slices(spark, d):
 
 @query("select count(*) as n_rows from orders")
 def footers_summary(spark, d):
-    out = _shared(spark)
+    out = shared_dir(spark)
     write(_t(spark, d, "orders", ["o_orderkey"]), out, WriteOptions(rows_per_group=1000))
     return footers(spark, out).agg(F.sum("n_rows").alias("n_rows"))
 
@@ -321,9 +314,9 @@ def arrow_batches(spark, d):
 
 @query("select event_id, user_id, event_type from events")
 def stream_scan(spark, d):
-    source = _shared(spark)
+    source = shared_dir(spark)
     _t(spark, d, "events", ["event_id", "user_id", "event_type"]).write.parquet(source)
-    return stream.drain(stream.file_stream(spark, source), _shared(spark), _shared(spark))
+    return stream.drain(stream.file_stream(spark, source), shared_dir(spark), shared_dir(spark))
 
 
 @query("select o_orderkey, o_orderpriority from orders")

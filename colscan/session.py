@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -17,3 +20,19 @@ SETTINGS = {
 def session(master: str | None = None, **settings: str) -> SparkSession:
     b = SparkSession.builder.config(map=SETTINGS | {k.replace("__", "."): v for k, v in settings.items()})
     return (b.master(master) if master else b).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Without that setting a temporary folder serves in local mode; on a cluster, where each machine would write to a
+    folder of its own, it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
+        base = f"file://{tempfile.mkdtemp(prefix='colscan-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
