@@ -77,6 +77,47 @@ def test_sharding_matches_sql(spark):
     assert "op6_sharding" in oracle_sql()
 
 
+def test_sharding_of_deep_leaves(spark):
+    """A few keys share 24 first bits and more, so that leaves of depth 0 to 30 stand beside each other."""
+    r = random.Random(8)
+    keys = [(r.getrandbits(sharding.BITS), 10) for _ in range(300)] + [((5 << 36) + (i << 30), 400) for i in range(3)] + [((9 << 52) + i, 100) for i in range(40)]
+    sizes = spark.createDataFrame(keys, "h long, bytes long")
+    limit = 500
+    leaves = sharding.directory(sizes, limit)
+    rows = leaves.collect()
+    assert max(x.depth for x in rows) > 50
+    want = {}
+    for h, _ in keys:
+        for depth in range(61):
+            own = [(x, b) for x, b in keys if x >> (60 - depth) == h >> (60 - depth)]
+            if sum(b for _, b in own) <= limit or len({x for x, _ in own}) == 1:
+                want[h] = (h >> (60 - depth), depth, sum(b for _, b in own))
+                break
+    assert {tuple(x) for x in rows} == set(want.values())
+    for n in (len(rows), 3, 5000):
+        table = {x.slot: x for x in sharding.slots(leaves, n).collect()}
+        for h, leaf in want.items():
+            slot = table[h >> (60 - next(iter(table.values())).width)]
+            found = next(x for x in slot.leaves if x.last >= h)
+            assert (found.prefix, found.depth, found.shard_bytes) == leaf
+
+
+def test_sharding_without_a_broadcast(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted(map(tuple, sharding.shards(docs, limit=3000).collect()))
+    monkeypatch.setattr(sharding, "SLOTS", 1)
+    assert sorted(map(tuple, sharding.shards(docs, limit=3000).collect())) == want
+
+
+@pytest.mark.parametrize("name", ["prefix", "h", "slot", "leaf", "d", "n", "leaves", "width", "__h", "a.b", "Depth"])
+def test_sharding_clashing_names(spark, name):
+    docs = spark.createDataFrame([(1, "a b", "keep"), (2, None, None)], f"doc_id long, text string, `{name}` string")
+    got = sharding.shards(docs, limit=1).collect()
+    assert sorted(r.n_bytes for r in got) == [0, 3]
+    if name != "Depth":
+        assert {r.doc_id: r[name] for r in got} == {1: "keep", 2: None}
+
+
 def test_sharding_edges(spark):
     docs = spark.createDataFrame([(*r, "clash") for r in ODD], SCHEMA + ", shard string")
     got = sharding.shards(docs, limit=8).collect()
