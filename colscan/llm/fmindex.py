@@ -104,11 +104,38 @@ class FMIndex:
         return lo, hi, matched
 
 
+def symbols(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each word, bounds of the segments): equal numbers for equal words and only for these.
+
+    Hashes group the words; every word is then held against the first of its group byte by byte.
+    """
+    parts = [Words(part) for _, part in slabs(segments, 1 << 20)]
+    hashes = np.concatenate([w.hash for w in parts])
+    bounds = np.r_[0, np.cumsum(np.concatenate([np.diff(w.bounds) for w in parts]))]
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    data = np.concatenate([w.data for w in parts])
+    shift = np.cumsum([0, *(len(w.data) for w in parts)])
+    start, end = (np.concatenate([getattr(w, x) + s for w, s in zip(parts, shift, strict=False)]) for x in ("start", "end"))
+    size = end - start
+    like = first[number]
+    same = bool((size == size[like]).all())
+    other = np.flatnonzero(like != np.arange(len(like)))
+    for a in range(0, len(other), BATCH) if same else ():
+        own = other[a : a + BATCH]
+        n = size[own]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if (data[np.repeat(start[own], n) + step] != data[np.repeat(start[like[own]], n) + step]).any():
+            same = False
+            break
+    if not same:
+        seen: dict[bytes, int] = {}
+        number = np.array([seen.setdefault(x, len(seen)) for s in segments for x in s.split()])
+    return number, bounds
+
+
 def decide(job: Repeats, segments, ids, keys, start, size) -> np.ndarray:
     """Streams the segments through an index of them all; True at stretches that start earlier somewhere."""
-    parts = [(w.hash, np.diff(w.bounds)) for w in (Words(part) for _, part in slabs(segments, 1 << 20))]
-    _, symbol = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
-    bounds = np.r_[0, np.cumsum(np.concatenate([n for _, n in parts]))]
+    symbol, bounds = symbols(segments)
     text = np.zeros(len(symbol) + len(segments), np.int64)
     text[np.arange(len(symbol)) + np.repeat(np.arange(len(segments)), np.diff(bounds))] = symbol + 1
     index = FMIndex(text, job.length)
@@ -138,7 +165,8 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A stretch is repeated if the same ``length`` words start earlier: in a document of smaller id, or earlier in the
     same one. Rows of one id but different text are ordered by a hash of the text; equal rows are one document, each
-    with its result. A null id comes after all others; null and blank texts have no words. Empty tables give no rows.
+    with its result. A null id comes after all others; null and blank texts have no words; a text of any length is
+    taken whole. Other columns of ``docs``, of whatever names, are not read. Empty tables give no rows.
     """
     from pyspark.sql import functions as F
 

@@ -4,19 +4,26 @@ A stretch is ``length`` consecutive units (words or bytes) of one document. Each
 hash of its ``gram``-unit pieces, so equal stretches belong to equal hashes wherever they stand; consecutive
 stretches with one hash form a run. The steps, all linear in the text:
 
-1. every document reports its runs; hashes that occur in one document only are dropped, which leaves few;
-2. the texts of the runs that remain go to index shards by their hash, each distinct text of a task once;
+1. documents are packed into groups; every group reports its runs; hashes that occur in one document only are
+   dropped, which leaves few, and hashes with very many different runs are listed as hot;
+2. the texts of the runs that remain go to index shards by their hash, each distinct text of a group once. A run
+   of a hot hash (a phrase shorter than a stretch, with a different text around it each time) goes stretch by
+   stretch, each to the shard of its own whole text, so that no shard has all surroundings of a phrase;
 3. a shard's index (see ``fmindex`` and ``suffixlog``) decides which stretches start earlier elsewhere;
 4. documents are rebuilt without the units that such stretches cover.
 
-Hashes choose where things meet; the decision is made on the texts. A hash that is very frequent stays a single
-entry for each batch in step 1 and for each task in step 2, so no task has all occurrences of a passage. All
-data between steps is packed, one row for each batch and target.
+Hashes choose where things meet; the decision is made on the texts. However frequent a hash or passage is, it is one
+entry for each group in step 1, and one for each group and distinct text in step 2.
+
+All data between steps is packed, one row for each group and target. Where there are over ``FAN`` targets a row first
+goes to one of ``FAN`` bundles of targets, and bundles are split in tasks of their own, so the number of rows grows
+with the data and not with groups times shards.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -32,12 +39,19 @@ from .wordhash import Words, encoded, mix, slabs, spans
 GROUP_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
 #: Bytes whose runs are computed in one go, and stretches of a run.
 SLAB, LONGEST = 1 << 19, 50_000
-#: Documents whose runs are packed together.
-BATCH_ROWS = 8192
+#: Different runs from which a hash is hot; and hot hashes that the tasks are told, the hottest ones. Any other hash has
+#: fewer runs than ``HOT``, or, in a table with more hot hashes than that, at most one in ``HOT_MOST`` of all runs.
+HOT, HOT_MOST = 1024, 1 << 20
+#: Targets that a row is packed for directly, and bytes (packed) that a task splits at a time beyond that.
+FAN, SPLIT_BYTES = 4096, 32 << 20
+#: Bytes of text for each task of a step, from which a step has more tasks than the session's shuffle partitions.
+TASK_BYTES = 64 << 20
 #: Bits of a piece's hash that are left out where runs are sent: 48 remain, and a chance agreement only sends a run to the index.
 DROPPED = np.uint64(16)
 NO_ID = (1 << 63) - 1
-ROW = "kind int, part int, blob binary"
+ROW = "kind int, part long, blob binary"
+#: Kinds of rows: runs for a bucket, runs or stretches for their documents, hashes known to be repeated, hot hashes.
+RUNS, OWN, SURE, HOTTEST = 0, 1, 2, 3
 
 
 def pack(*arrays: np.ndarray | bytes) -> bytes:
@@ -76,7 +90,7 @@ def by_part(part: np.ndarray, *arrays: np.ndarray):
 
 def rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     k, p, b = zip(*found, strict=True) if found else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(p, pa.int32()), pa.array(b, pa.binary())], names=["kind", "part", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(p, pa.int64()), pa.array(b, pa.binary())], names=["kind", "part", "blob"])
 
 
 class Bytes:
@@ -90,6 +104,11 @@ class Bytes:
         self.bounds = np.cumsum([0, *map(len, texts)])
 
 
+def tags(h: np.ndarray) -> np.ndarray:
+    """What names a hash's shard: 32 bits of it."""
+    return h.astype(np.uint32)
+
+
 class Repeats:
     """The pipeline of the module for one kind of unit; made on the driver, used in tasks."""
 
@@ -97,7 +116,8 @@ class Repeats:
         """within: an earlier start in the same document counts too. decide(segments, ids, keys, starts, counts):
         for each segment's ``counts`` stretches, one after the other, whether an equal one starts earlier."""
         self.length, self.gram, self.words, self.within, self.decide, self.shard_bytes = length, gram, words, within, decide, shard_bytes
-        self.groups = self.shards = 1
+        self.group_bytes, self.fan, self.many, self.split_bytes = GROUP_BYTES, FAN, HOT, SPLIT_BYTES
+        self.shards, self.bundled, self.hot = 1, False, None
 
     def units(self, texts: list[bytes]):
         return Words(texts) if self.words else Bytes(texts)
@@ -105,12 +125,8 @@ class Repeats:
     def clean(self, text: bytes) -> bytes:
         return b" ".join(text.split()) if self.words else text
 
-    def cleaned(self, batch: pa.RecordBatch) -> list[bytes]:
-        """The texts of a batch; only a slice of them is held as strings too."""
-        return [self.clean(t) for part in sliced([batch]) for t in encoded(part.column(2).to_pylist())]
-
     def runs(self, texts: list[bytes]):
-        """(hash, text, start, stretches) of every run."""
+        """(hash, text, start, stretches, hash of its whole text) of every run."""
         found = []
         for first, part in slabs(texts, SLAB):
             u = self.units(part)
@@ -141,11 +157,49 @@ class Repeats:
                 ordinal = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 rest = np.repeat(size, pieces) - ordinal * LONGEST
                 begin, size = np.repeat(begin, pieces) + ordinal * LONGEST, np.minimum(rest, LONGEST)
-            found.append((low[begin] >> DROPPED, (doc[begin] + first).astype(np.uint32), (begin - u.bounds[doc[begin]]).astype(np.uint32), size.astype(np.uint16)))
-        return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, t) for t in (np.uint64, np.uint32, np.uint32, np.uint16)]
+            found.append((low[begin] >> DROPPED, (doc[begin] + first).astype(np.uint32), (begin - u.bounds[doc[begin]]).astype(np.uint32), size.astype(np.uint16), spans(u.hash, begin, begin + size + self.length - 1).astype(np.uint32)))
+        return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, t) for t in (np.uint64, np.uint32, np.uint32, np.uint16, np.uint32)]
+
+    def target(self, fine: np.ndarray, *arrays: np.ndarray):
+        """(target, arrays) for the rows to be sent: the shard or group itself, or its bundle. The first array sent is ``fine``."""
+        to = mix(fine.astype(np.uint64)) % np.uint64(self.fan) if self.bundled else fine
+        return by_part(to.astype(np.int64), fine, *arrays)
+
+    def split(self, batches, ragged: bool):
+        """Rows for bundles as rows for single targets; a task holds some rows of each bundle at a time."""
+        held: dict[tuple[int, int], list[bytes]] = {}
+        size = 0
+
+        def out():
+            for (kind, _), blobs in held.items():
+                fine, *arrays = merged(blobs)
+                if not (ragged and kind == RUNS):
+                    yield rows([(kind, p, pack(*x)) for p, x in by_part(fine.astype(np.int64), fine, *arrays)])
+                    continue
+                *arrays, lengths, data = arrays
+                ends, data = np.cumsum(lengths.astype(np.int64)), data.tobytes()
+                begins = ends - lengths
+                yield rows([(kind, p, pack(*x, b"".join(data[begins[j] : ends[j]] for j in i))) for p, (i, *x) in by_part(fine.astype(np.int64), np.arange(len(fine)), fine, *arrays, lengths)])
 
-    def group(self, ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        return (mix(ids.view(np.uint64) ^ mix(keys.view(np.uint64))) % np.uint64(self.groups)).astype(np.int64)
+        for b in batches:
+            for kind, part, blob in zip(*(b.column(n).to_pylist() for n in ("kind", "part", "blob")), strict=True):
+                if kind == HOTTEST:
+                    yield rows([(kind, part, blob)])
+                    continue
+                held.setdefault((kind, part), []).append(blob)
+                size += len(blob)
+                if size >= self.split_bytes:
+                    yield from out()
+                    held, size = {}, 0
+        yield from out()
+
+    def dealt(self, df: DataFrame, tasks: int, ragged: bool = False) -> DataFrame:
+        """The rows, where need be split into one for each target, and in as many partitions as the data needs."""
+        if self.bundled:
+            spread = max(1, tasks // self.fan)
+            bundles = df.repartition(max(tasks, self.fan), "kind", "part", F.pmod(F.xxhash64("blob"), F.lit(spread)))
+            df = bundles.mapInArrow(lambda b: self.split(b, ragged), ROW)
+        return df.repartition(tasks, "part") if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
     def known(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Which entries have a hash that another document (or, ``within``, another place) has too."""
@@ -162,105 +216,151 @@ class Repeats:
         out[order] = np.repeat(many, size)
         return out
 
+    def packed(self, batches):
+        """Documents (id, key, text) packed into groups of about ``GROUP_BYTES``, numbered within the job."""
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        ids, keys, texts, size = [], [], [], 0
+        for b in sliced(batches):
+            for i, k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoded(b.column(2).to_pylist()), strict=True):
+                t = self.clean(t)
+                if size and size + len(t) > self.group_bytes:
+                    yield rows([(RUNS, number, pack(np.array(ids, np.int64), np.array(keys, np.int64), np.array(list(map(len, texts))), b"".join(texts)))])
+                    number += 1
+                    ids, keys, texts, size = [], [], [], 0
+                ids.append(i)
+                keys.append(k)
+                texts.append(t)
+                size += len(t)
+        if ids:
+            yield rows([(RUNS, number, pack(np.array(ids, np.int64), np.array(keys, np.int64), np.array(list(map(len, texts))), b"".join(texts)))])
+
+    @staticmethod
+    def opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(ids, keys, texts) of a group."""
+        ids, keys, sizes, data = unpack(blob)
+        data, ends = data.tobytes(), np.cumsum(sizes).tolist()
+        return ids, keys, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def find(self, batches):
-        """Step 1, by batch of documents. Kind 0: runs for a bucket; kind 1: runs known to be repeated, for their documents."""
-        for b in sliced(batches, BATCH_ROWS):
-            ids, keys = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            h, doc, start, size = self.runs(self.cleaned(b))
-            again = self.known(h, ids[doc])
-            bucket = (h % np.uint64(self.shards)).astype(np.int64)
-            out = []
-            for p, (x, d, s, n) in by_part(bucket[~again], h[~again], doc[~again], start[~again], size[~again]):
-                own, d = np.unique(d, return_inverse=True)
-                out.append((0, p, pack(x, ids[own], keys[own], d.astype(np.uint32), s, n)))
-            sure = np.unique(h[again])
-            out += [(2, p, pack(x)) for p, (x,) in by_part((sure % np.uint64(self.shards)).astype(np.int64), sure)]
-            out += self.to_documents(h[again], ids[doc[again]], keys[doc[again]], start[again], size[again])
+        """Step 1, by group. RUNS and SURE: for a bucket; OWN: runs known to be repeated, for their group."""
+        for b in sliced(batches, 1):
+            number, blob = b.column("part")[0].as_py(), b.column("blob")[0].as_py()
+            ids, keys, texts = self.opened(blob)
+            h, doc, start, size, whole = self.runs(texts)
+            ids, keys = ids[doc], keys[doc]
+            again = self.known(h, ids)
+            fine = (tags(h) % np.uint32(self.shards)).astype(np.uint32)
+            one = ~again
+            out = [(RUNS, p, pack(*x)) for p, x in self.target(fine[one], h[one], ids[one], keys[one], np.full(int(one.sum()), number), start[one], size[one])]
+            # how many different texts a hash has here, told apart by 16 bits
+            pairs = np.unique(h[again] << DROPPED | (whole[again] & 0xFFFF))
+            sure, different = np.unique(pairs >> DROPPED, return_counts=True)
+            out += [(SURE, p, pack(*x)) for p, x in self.target((tags(sure) % np.uint32(self.shards)).astype(np.uint32), sure, different)]
+            out += self.to_documents(h[again], ids[again], keys[again], np.full(int(again.sum()), number), start[again], size[again])
             yield rows(out)
 
-    def to_documents(self, h, ids, keys, start, size) -> list:
-        shard = (h % np.uint64(self.shards)).astype(np.uint32)
-        return [(1, p, pack(*x)) for p, x in by_part(self.group(ids, keys), shard, ids, keys, start, size)]
+    def to_documents(self, h, ids, keys, group, start, size) -> list:
+        return [(OWN, p, pack(*x)) for p, x in self.target(group, tags(h), ids, keys, start, size)]
 
     def match(self, key, t: pa.Table) -> pa.Table:
-        """Step 1, by bucket: the runs whose hash is repeated. Runs known to be so pass through."""
-        if key[0].as_py() == 1:
+        """Step 1, by bucket: the runs whose hash is repeated, and the hot hashes. Runs known to be repeated pass through."""
+        if key[0].as_py() == OWN:
             return t
         kinds, blobs = t.column("kind").to_pylist(), t.column("blob").to_pylist()
-        h, ids, keys, start, size = [], [], [], [], []
-        for blob in (b for k, b in zip(kinds, blobs, strict=True) if k == 0):
-            x, i, k, d, s, n = unpack(blob)
-            for to, v in ((h, x), (ids, i[d]), (keys, k[d]), (start, s), (size, n)):
-                to.append(v)
-        sure = np.concatenate([np.zeros(0, np.uint64), *(unpack(b)[0] for k, b in zip(kinds, blobs, strict=True) if k == 2)])
-        if not h:
-            return pa.Table.from_batches([rows([])])
-        h, ids, keys, start, size = map(np.concatenate, (h, ids, keys, start, size))
-        again = self.known(h, ids) | np.isin(h, sure)
-        return pa.Table.from_batches([rows(self.to_documents(*(x[again] for x in (h, ids, keys, start, size))))])
-
-    def texts(self, batches):
-        """Documents packed for their group."""
-        for b in batches:
-            ids, keys = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            texts = self.cleaned(b)
-            yield rows([(0, p, pack(ids[i], keys[i], np.array([len(texts[j]) for j in i]), b"".join(texts[j] for j in i))) for p, (i,) in by_part(self.group(ids, keys), np.arange(len(ids)))])
+        single = [b for k, b in zip(kinds, blobs, strict=True) if k == RUNS]
+        known = [b for k, b in zip(kinds, blobs, strict=True) if k == SURE]
+        _, sure, different = merged(known) if known else (None, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        out = []
+        h = np.zeros(0, np.uint64)
+        if single:
+            _, h, ids, keys, group, start, size = merged(single)
+            again = self.known(h, ids) | np.isin(h, sure)
+            h = h[again]
+            out = self.to_documents(h, *(x[again] for x in (ids, keys, group, start, size)))
+        names, at = np.unique(np.concatenate((sure, h)), return_inverse=True)
+        total = np.bincount(at, np.concatenate((different, np.ones(len(h)))), len(names))
+        many = total >= self.many
+        if many.any():
+            out.append((HOTTEST, -1, pack(tags(names[many]), total[many].astype(np.int64))))
+        return pa.Table.from_batches([rows(out)])
 
     @staticmethod
-    def opened(docs: pa.Table):
-        """(id, key, text) of packed documents."""
-        for blob in docs.column("blob").to_pylist():
-            ids, keys, sizes, data = unpack(blob)
-            data, ends = data.tobytes(), np.cumsum(sizes).tolist()
-            yield from ((i, k, data[a:b]) for i, k, a, b in zip(ids.tolist(), keys.tolist(), [0, *ends], ends, strict=False))
+    def hottest(batches):
+        for b in batches:
+            for blob in b.column("blob").to_pylist():
+                tag, n = unpack(blob)
+                yield pa.RecordBatch.from_arrays([pa.array(tag.astype(np.int64)), pa.array(n)], names=["tag", "n"])
 
     def extract(self, key, docs: pa.Table, found: pa.Table) -> pa.Table:
-        """Step 2. Kind 0: segments for an index shard; kind 1: stretches already decided, for their document.
+        """Step 2. RUNS: segments for an index shard; OWN: stretches already decided, for their group.
 
         Of segments with equal text, the first goes to the shard; the others are repeated throughout.
         """
         if not found.num_rows or not docs.num_rows:
             return pa.Table.from_batches([rows([])])
-        shard, ids, keys, start, size = merged(found.column("blob").to_pylist())
+        number = key[0].as_py()
+        _, tag, ids, keys, start, size = merged(found.column("blob").to_pylist())
         order = np.lexsort((start, keys, ids))
-        shard, ids, keys, start, size = (x[order] for x in (shard, ids, keys, start, size))
-        text = {(i, k): t for i, k, t in self.opened(docs)}
+        tag, ids, keys, start, size = (x[order] for x in (tag, ids, keys, start.astype(np.int64), size.astype(np.int64)))
+        hot = np.isin(tag, self.hot.value).tolist()
+        own_ids, own_keys, texts = self.opened(docs.column("blob")[0].as_py())
+        text = dict(zip(zip(own_ids.tolist(), own_keys.tolist(), strict=True), texts, strict=True))
         cut = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])
-        first: dict[bytes, tuple[int, int, int]] = {}
-        sent, done = [], []
-        segments: list[bytes] = []
+        runs: dict[bytes, tuple[int, int, int]] = {}
+        single: dict[bytes, tuple[int, int, int]] = {}
+        sent, done, segments = [], [], []
+
+        def take(first: dict, piece: bytes, me: tuple[int, int], n: int, at: int, count: int) -> bool:
+            """Whether the piece is to be sent; else it is noted as repeated, or is one and the same, told twice."""
+            was = first.get(piece)
+            if was is None:
+                first[piece] = (*me, at)
+                return True
+            if was == (*me, at):
+                return False
+            if self.within or was[0] < me[0]:
+                done.append((n, at, count))
+                return False
+            return True
+
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)], strict=True):
             me = (int(ids[a]), int(keys[a]))
             data = text[me]
             u = self.units([data])
-            begin, end = u.start[start[a:b]].tolist(), u.end[start[a:b].astype(np.int64) + size[a:b] + self.length - 2].tolist()
+            begin, end = u.start[start[a:b]].tolist(), u.end[start[a:b] + size[a:b] + self.length - 2].tolist()
             for n, (x, y) in enumerate(zip(begin, end, strict=True), a):
-                piece = data[x:y]
-                was = first.get(piece)
-                if was is None or not (self.within or was[0] < me[0]):
-                    if was is None:
-                        first[piece] = (*me, n)
-                    elif was[:2] == me and start[was[2]] == start[n]:
-                        continue
-                    sent.append(n)
+                at, count, piece = int(start[n]), int(size[n]), data[x:y]
+                if not take(runs, piece, me, n, at, count):
+                    continue
+                if not hot[n]:
+                    sent.append((n, at, count, tag[n]))
                     segments.append(piece)
-                elif was[:2] != me or start[was[2]] != start[n]:
-                    done.append(n)
-        sent = np.array(sent, dtype=np.int64)
+                    continue
+                ends = u.end[at + self.length - 1 : at + self.length - 1 + count].tolist()
+                for j, (p, q) in enumerate(zip(u.start[at : at + count].tolist(), ends, strict=True)):
+                    piece = data[p:q]
+                    if take(single, piece, me, n, at + j, 1):
+                        sent.append((n, at + j, 1, zlib.crc32(piece)))
+                        segments.append(piece)
         out = []
-        lengths = np.array([len(s) for s in segments], dtype=np.uint32)
-        for p, (i, n, m) in by_part(shard[sent].astype(np.int64), np.arange(len(sent)), sent, lengths):
-            out.append((0, p, pack(ids[n], keys[n], start[n], size[n], m, b"".join(segments[j] for j in i))))
+        if sent:
+            n, at, count, named = map(np.array, zip(*sent, strict=True))
+            fine = (named.astype(np.uint32) % np.uint32(self.shards)).astype(np.uint32)
+            lengths = np.array([len(s) for s in segments], dtype=np.uint32)
+            for p, (f, i, x, y, s, c, m) in self.target(fine, np.arange(len(n)), ids[n], keys[n], at.astype(np.uint32), count.astype(np.uint16), lengths):
+                out.append((RUNS, p, pack(f, x, y, np.full(len(x), number), s, c, m, b"".join(segments[j] for j in i))))
         if done:
-            done = np.array(done)
-            out.append((1, key[0].as_py(), pack(ids[done], keys[done], start[done], size[done].astype(np.uint32))))
+            n, at, count = map(np.array, zip(*done, strict=True))
+            out += [(OWN, p, pack(*x)) for p, x in self.target(np.full(len(n), number), ids[n], keys[n], at.astype(np.uint32), count.astype(np.uint32))]
         return pa.Table.from_batches([rows(out)])
 
     def index(self, key, t: pa.Table) -> pa.Table:
-        """Step 3: the shard's verdict, as ranges of stretches for each document."""
-        if key[0].as_py() == 1:
+        """Step 3: the shard's verdict, as ranges of stretches for each group."""
+        if key[0].as_py() == OWN:
             return t
-        ids, keys, start, size, lengths, data = merged(t.column("blob").to_pylist())
+        _, ids, keys, group, start, size, lengths, data = merged(t.column("blob").to_pylist())
         ends, data = np.cumsum(lengths.astype(np.int64)), data.tobytes()
         segments = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         size = size.astype(np.int64)
@@ -271,19 +371,20 @@ class Repeats:
         stop = np.flatnonzero(bad & np.r_[~bad[1:] | (of[1:] != of[:-1]), True])
         who = of[edge]
         ranges = (ids[who], keys[who], (start[who] + at[edge]).astype(np.uint32), (stop - edge + 1).astype(np.uint32))
-        return pa.Table.from_batches([rows([(1, p, pack(*x)) for p, x in by_part(self.group(ids[who], keys[who]), *ranges)])])
+        return pa.Table.from_batches([rows([(OWN, p, pack(*x)) for p, x in self.target(group[who], *ranges)])])
 
     def rebuild(self, key, docs: pa.Table, found: pa.Table) -> pa.Table:
         """Step 4: (doc_id, n, n_removed, n_spans, kept_sha256, kept) of each document of a group."""
         out = []
         gone: dict[tuple[int, int], list] = {}
         if found.num_rows:
-            ids, keys, start, size = merged(found.column("blob").to_pylist())
+            _, ids, keys, start, size = merged(found.column("blob").to_pylist())
             order = np.lexsort((keys, ids))
             ids, keys, start, size = (x[order] for x in (ids, keys, start.astype(np.int64), size.astype(np.int64)))
             cut = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]).tolist()
             gone = {(int(ids[a]), int(keys[a])): [start[a:b], start[a:b] + size[a:b] + self.length - 1] for a, b in zip(cut, [*cut[1:], len(ids)], strict=True)}
-        for i, k, text in self.opened(docs):
+        ids, keys, texts = self.opened(docs.column("blob")[0].as_py()) if docs.num_rows else ((), (), ())
+        for i, k, text in zip(map(int, ids), map(int, keys), texts, strict=True):
             units = text.split() if self.words else text
             n, removed, parts, kept = len(units), 0, 0, text
             if (i, k) in gone:
@@ -300,15 +401,23 @@ class Repeats:
 
     def __call__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Rows as ``rebuild`` gives them, one for each row of ``docs``."""
+        spark = docs.sparkSession
         text = text_of(text_col)
         slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-        total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-        self.groups, self.shards = max(1, -(-total // GROUP_BYTES)), max(1, -(-total // self.shard_bytes))
-        find, match, texts, extract, index, rebuild = (getattr(self, n) for n in ("find", "match", "texts", "extract", "index", "rebuild"))
-        side = F.when(F.col("kind") == 1, 1).otherwise(0)
-        runs = staged(slim.mapInArrow(lambda b: find(b), ROW).groupBy(side.alias("side"), "part").applyInArrow(lambda k, t: match(k, t.select(["kind", "part", "blob"])), ROW).where("kind = 1"))
-        packed = slim.mapInArrow(lambda b: texts(b), ROW)
-        pieces = packed.groupBy("part").cogroup(runs.groupBy("part")).applyInArrow(lambda k, d, r: extract(k, d, r), ROW)
-        verdicts = pieces.groupBy("kind", "part").applyInArrow(lambda k, t: index(k, t), ROW)
+        packed, find, match, extract, index, rebuild = (getattr(self, n) for n in ("packed", "find", "match", "extract", "index", "rebuild"))
+        groups = staged(slim.mapInArrow(lambda b: packed(b), ROW))
+        total, n_groups = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0, groups.count()
+        self.shards = max(1, -(-total // self.shard_bytes))
+        self.bundled = max(self.shards, n_groups) > self.fan
+        tasks = max(1, -(-total // TASK_BYTES))
+        side = F.when(F.col("kind") == OWN, OWN).otherwise(RUNS)
+        found = self.dealt(groups.mapInArrow(lambda b: find(b), ROW), tasks)
+        runs = staged(found.groupBy(side.alias("side"), "part").applyInArrow(lambda k, t: match(k, t.select(["kind", "part", "blob"])), ROW))
+        hot = runs.where(f"kind = {HOTTEST}").mapInArrow(self.hottest, "tag long, n long").groupBy("tag").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "tag").limit(HOT_MOST)
+        self.hot = spark.sparkContext.broadcast(np.sort(hot.toArrow().column("tag").to_numpy().astype(np.uint32)))
+        runs = self.dealt(runs.where(f"kind = {OWN}"), tasks)
+        pieces = groups.groupBy("part").cogroup(runs.groupBy("part")).applyInArrow(lambda k, d, r: extract(k, d, r), ROW)
+        verdicts = self.dealt(pieces, tasks, ragged=True).groupBy("kind", "part").applyInArrow(lambda k, t: index(k, t), ROW)
+        verdicts = self.dealt(verdicts, tasks)
         result = "doc_id long, n long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-        return packed.groupBy("part").cogroup(verdicts.groupBy("part")).applyInArrow(lambda k, d, r: rebuild(k, d, r), result)
+        return groups.groupBy("part").cogroup(verdicts.groupBy("part")).applyInArrow(lambda k, d, r: rebuild(k, d, r), result)

@@ -16,38 +16,86 @@ BATCH = 1 << 16
 SHARD_BYTES = 16 << 20
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, in byte order; zeros follow the last byte."""
+    w = np.zeros(len(data) + 7, np.uint64)
+    w[: len(data)] = data
+    for n in (1, 2, 4):
+        w[: len(w) - n] = w[: len(w) - n] << np.uint64(8 * n) | w[n:]
+    return w
+
+
 class Family:
-    """Sorted suffix arrays of geometrically growing size over batches of documents in id order.
+    """Suffix arrays of geometrically growing size over batches of places of one text, in document order.
 
-    An array holds the suffixes of its batches, compared by their first ``length`` bytes, with the least id that
-    has each. A batch is scanned against every array; what none has forms a new one, and arrays of like size merge.
+    An array is the sorted places of its batches, ordered by the ``length`` bytes that follow, with the first eight of
+    these and the least id that has them; places with equal bytes stand once. A batch is sorted and scanned against
+    every array; what none has forms a new array, and arrays of like size merge.
     """
 
-    def __init__(self, length: int):
+    def __init__(self, data: np.ndarray, length: int):
         self.length, self.levels = length, []
+        words = -(-length // 8)
+        self.eights = eights(np.r_[data, np.zeros(8 * words, np.uint8)])
+        self.steps = range(0, 8 * words, 8)
+        self.rest = np.uint64(8 * (8 * words - length))
+
+    def word(self, places: np.ndarray, step: int) -> np.ndarray:
+        w = self.eights[places + step]
+        return w >> self.rest << self.rest if step == self.steps[-1] else w
+
+    def compare(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1 as the suffix at each a is less than, equal to or greater than that at b, after equal first words."""
+        out = np.zeros(len(a), np.int8)
+        open_ = np.arange(len(a))
+        for step in self.steps[1:] if len(self.steps) > 1 else self.steps:
+            x, y = self.word(a[open_], step), self.word(b[open_], step)
+            out[open_] = (x > y).astype(np.int8) - (x < y)
+            open_ = open_[x == y]
+            if not len(open_):
+                break
+        return out
+
+    def scan(self, heads: np.ndarray, places: np.ndarray, level: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the level, whether it is the same) of each of the sorted suffixes."""
+        keys, have, _ = level
+        lo, hi = np.searchsorted(keys, heads, "left"), np.searchsorted(keys, heads, "right")
+        same = np.zeros(len(places), bool)
+        live = np.flatnonzero(lo < hi)
+        while len(live):
+            mid = (lo[live] + hi[live]) >> 1
+            order = self.compare(have[mid], places[live])
+            same[live] |= order == 0
+            lo[live] = np.where(order < 0, mid + 1, np.where(order == 0, mid, lo[live]))
+            hi[live] = np.where(order < 0, hi[live], mid)
+            live = live[lo[live] < hi[live]]
+        return lo, same
 
-    def add(self, suffixes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """True at suffixes that a document of smaller id has, in this batch or an earlier one."""
-        order = np.argsort(suffixes, kind="stable")
-        s, i = suffixes[order], ids[order]
-        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    def add(self, places: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """True at places whose suffix a document of smaller id has, in this batch or an earlier one."""
+        order = np.lexsort([self.word(places, s) for s in reversed(self.steps)])
+        s, i = places[order], ids[order]
+        head = self.eights[s] if len(self.steps) > 1 else self.word(s, 0)
+        differ = np.r_[True, head[1:] != head[:-1]]
+        near = np.flatnonzero(~differ)
+        differ[near] = self.compare(s[near], s[near - 1]) != 0
+        first = np.flatnonzero(differ)
         size = np.diff(np.r_[first, len(s)])
         least = np.minimum.reduceat(i, first)
-        s = s[first]
+        s, head = s[first], head[first]
         new = np.ones(len(s), bool)
-        for keys, owners in self.levels:
-            at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-            hit = keys[at] == s
-            least = np.where(hit, np.minimum(least, owners[at]), least)
+        for level in self.levels:
+            at, hit = self.scan(head, s, level)
+            least[hit] = np.minimum(least[hit], level[2][at[hit]])
             new &= ~hit
         out = np.empty(len(order), bool)
         out[order] = i > np.repeat(least, size)
         if new.any():
-            self.levels.append((s[new], least[new]))
+            self.levels.append((head[new], s[new], least[new]))
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            (a, x), (b, y) = self.levels.pop(), self.levels.pop()
-            at = np.searchsorted(b, a)  # the arrays have no suffix in common
-            self.levels.append((np.insert(b, at, a), np.insert(y, at, x)))
+            small, large = self.levels.pop(), self.levels.pop()
+            at, _ = self.scan(small[0], small[1], large)  # the arrays have no suffix in common
+            self.levels.append(tuple(np.insert(y, at, x) for x, y in zip(small, large, strict=True)))
         return out
 
 
@@ -57,17 +105,16 @@ def decide(job: Repeats, segments, ids, keys, start, size) -> np.ndarray:
     begin = np.cumsum([0, *map(len, segments)])[:-1]
     base = np.cumsum(size) - size
     order = np.argsort(ids, kind="stable")
-    family = Family(job.length)
+    family = Family(data, job.length)
     out = np.zeros(int(size.sum()), bool)
-    views = np.lib.stride_tricks.sliding_window_view(data, job.length)
+    done = np.cumsum(size[order])
     a = 0
     while a < len(order):
-        b = max(a + 1, int(np.searchsorted(np.cumsum(size[order[a:]]), BATCH, "right")) + a)
+        b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + BATCH, "right")))
         own = order[a:b]
         n = size[own]
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        suffixes = np.ascontiguousarray(views[np.repeat(begin[own], n) + step]).view(f"S{job.length}").ravel()
-        out[np.repeat(base[own], n) + step] = family.add(suffixes, np.repeat(ids[own], n))
+        out[np.repeat(base[own], n) + step] = family.add(np.repeat(begin[own], n) + step, np.repeat(ids[own], n))
         a = b
     return out
 
@@ -76,8 +123,8 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row: bytes that an earlier document has are removed.
 
     Removed is each byte under a string of ``length`` bytes that starts in a document of smaller id too. Rows of one
-    id are never earlier than each other. A null id comes after all others; null texts are empty. Empty tables give
-    no rows.
+    id are never earlier than each other. A null id comes after all others; null texts are empty; a text of any length
+    is taken whole. Other columns of ``docs``, of whatever names, are not read. Empty tables give no rows.
     """
     out = Repeats(length, min(GRAM, length // 2), False, False, decide, SHARD_BYTES)(docs, id_col, text_col)
     return out.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", "kept")

@@ -37,6 +37,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Places in a word whose scrambles are looked up; those of later bytes are computed.
+PLACES = 64
+_BYTE_AT = mix(np.arange(1, PLACES * 256 + 1, dtype=np.uint64))
+
+
 def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of values[start:end] for each pair, from one running sum; equal content gives equal hashes anywhere."""
     n = len(values)
@@ -57,6 +62,26 @@ def slabs(texts: list[bytes], most: int = SLAB) -> Iterator[tuple[int, list[byte
         yield first, texts[first:]
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each word: the sum of a scramble of every byte together with its place in the word.
+
+    No base is raised to powers, whose low bits a word of a regular pattern can cancel, however long the words are.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    first = np.zeros(len(data), np.int64)
+    first[start] = start
+    code = np.arange(len(data)) - np.maximum.accumulate(first)
+    far = np.flatnonzero(code >= PLACES)
+    code <<= 8
+    code |= data
+    value = _BYTE_AT[code & (PLACES * 256 - 1)]
+    value[far] = mix(code[far].astype(np.uint64) + np.uint64(1))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(value, out=total[1:])
+    return mix(total[end] - total[start] + mix((end - start).astype(np.uint64)))
+
+
 class Words:
     """Words of some texts: ``hash``, byte ``start``/``end`` in ``data``, ``doc`` (index of the text), and ``bounds``,
     where text i has the words bounds[i]:bounds[i+1]."""
@@ -70,7 +95,7 @@ class Words:
         begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
         self.bounds = np.searchsorted(self.start, begins)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
-        self.hash = spans(self.data.astype(np.uint64) + np.uint64(1), self.start, self.end) if len(self.data) else np.zeros(0, np.uint64)
+        self.hash = word_hashes(self.data, self.start, self.end)
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, index of the first word) of each run of k words of one text."""

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from colscan.llm import fmindex, repeats, suffixlog
+from colscan.llm import fmindex, repeats, suffixlog, wordhash
 
 SCHEMA = "doc_id long, text string, part long, blob string"
 
@@ -70,6 +70,88 @@ def test_bytes(spark, small):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == bytes_brute(docs)
 
 
+@pytest.mark.parametrize("hot", [2, 1024])
+@pytest.mark.parametrize("fan", [2, 4096])
+def test_bundles_and_hot_hashes(spark, small, monkeypatch, hot, fan):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "FAN", fan)
+    monkeypatch.setattr(repeats, "SPLIT_BYTES", 2000)
+    docs = made()
+    rows = spark.createDataFrame([(d, t, 1, "b") for d, t in docs.items()], SCHEMA)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in fmindex.dedup_words(rows).collect()} == words_brute(docs)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixlog.dedup_bytes(rows).collect()} == bytes_brute(docs)
+
+
+def test_a_short_phrase_in_every_document_is_spread(spark, monkeypatch):
+    """A phrase of 47 bytes (16 words) with different text around it each time: no shard has all of it."""
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 30_000)
+    monkeypatch.setattr(repeats, "HOT", 50)
+    r = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    noise = lambda n: "".join(r.choices(letters, k=n))
+    words = " ".join(noise(2) for _ in range(16))
+    docs = {i: f"{' '.join(noise(6) for _ in range(20))} {words} {' '.join(noise(6) for _ in range(20))} {noise(60)}{words[:29]}" for i in range(600)}
+    docs |= {600 + i: docs[i] for i in range(5)}
+    for make, brute, length, gram, words_, within, decide in ((fmindex, words_brute, 20, 10, True, True, fmindex.decide), (suffixlog, bytes_brute, 50, 24, False, False, suffixlog.decide)):
+        job = repeats.Repeats(length, gram, words_, within, decide, 4000)
+        loads = spark.sparkContext.accumulator(0)
+
+        def counted(j, segments, *rest, decide=decide, loads=loads):
+            loads.add(max(0, sum(map(len, segments)) - 60_000))
+            return decide(j, segments, *rest)
+
+        job.decide = counted
+        rows = spark.createDataFrame([(d, t, 1, "b") for d, t in docs.items()], SCHEMA)
+        got = {x.doc_id: x for x in job(rows).collect()}
+        want = brute(docs)
+        assert {d: (x.n, x.n_removed) for d, x in got.items()} == {d: v[:2] for d, v in want.items()}
+        assert len(job.hot.value) >= 1 and job.shards > 10
+        assert loads.value == 0, make.__name__
+
+
+def test_words_are_compared_by_their_bytes(spark, monkeypatch):
+    """Long words of a regular pattern, and words under a hash that has only two values."""
+    pattern = lambda c: "".join("ab"[(i.bit_count() + c) & 1] for i in range(2048))
+    head = " ".join(f"w{i}" for i in range(19))
+    docs = {1: f"{head} {pattern(0)}", 2: f"{head} {pattern(1)}", 3: f"{head} {pattern(0)}"}
+    got = fmindex.dedup_words(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0, 3: 20}
+    assert wordhash.Words([docs[1].encode()]).hash[-1] != wordhash.Words([docs[2].encode()]).hash[-1]
+    real = wordhash.Words
+
+    class Weak(real):
+        def __init__(self, texts):
+            super().__init__(texts)
+            self.hash &= np.uint64(1)
+
+    segments = [b"a b c", b"c d a", b"dd a"]
+    want = [x for s in segments for x in s.split()]
+    for kind in (real, Weak):
+        monkeypatch.setattr(fmindex, "Words", kind)
+        number, bounds = fmindex.symbols(segments)
+        assert bounds.tolist() == [0, 3, 6, 8]
+        assert all((number[i] == number[j]) == (want[i] == want[j]) for i in range(8) for j in range(8))
+
+
+def test_suffix_arrays_against_brute_force():
+    r = np.random.default_rng(2)
+    for length in (3, 8, 11, 50):
+        data = np.repeat(r.integers(97, 99, 400, dtype=np.uint8), 3)
+        family = suffixlog.Family(data, length)
+        seen: dict[bytes, int] = {}
+        for doc, at in enumerate(np.array_split(np.arange(len(data) - length), 23)):
+            place = np.concatenate((at, at[:5]))
+            ids = np.full(len(place), doc)
+            text = [data[p : p + length].tobytes() for p in place]
+            assert family.add(place, ids).tolist() == [seen.get(t, doc) < doc for t in text]
+            for t in text:
+                seen.setdefault(t, doc)
+        assert sum(len(x[0]) for x in family.levels) == len(seen)
+        for heads, places, _ in family.levels:
+            texts = [data[p : p + length].tobytes() for p in places]
+            assert texts == sorted(texts) and (np.diff(heads.astype(float)) >= 0).all()
+
+
 def test_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plain = {r.doc_id: r.text for r in docs.collect()}
