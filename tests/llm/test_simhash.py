@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from colscan.llm.simhash import LEAF, fingerprints, gray_rank, keep_one, links, near_duplicates, search, simhash
+from colscan.llm.simhash import Forest, fingerprints, gray_rank, keep_one, links, near_duplicates, search, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -59,12 +59,63 @@ def test_index_against_brute_force():
     x = np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for b in base] + [rng.integers(0, 2**63, 200, dtype=np.uint64)])
     x = np.unique(x)
     x = x[np.argsort(gray_rank(x))]
-    assert len(x) > 4 * LEAF
+    assert len(x) > 300
     got, want = search(x), brute({i: int(v) for i, v in enumerate(x)})
     assert [want[g] for g in got] == [want[i] for i in range(len(x))]
     assert len(set(got)) == len(set(want.values()))
 
 
+def grouped(rng, n_groups):
+    """Groups of 1 to 700 fingerprints, some in dense clusters and some at random, in Gray order."""
+    keys, xs = [], []
+    for g in range(n_groups):
+        n = int(rng.choice([1, 2, 3, 8, 9, 60, 700]))
+        base = rng.integers(0, 2**63, max(1, n // 9), dtype=np.uint64)
+        x = base[rng.integers(0, len(base), n)]
+        for _ in range(int(rng.integers(0, 5))):
+            x = x ^ (np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64))
+        x = np.unique(x)
+        xs.append(x[np.argsort(gray_rank(x))])
+        keys.append(np.full(len(x), g))
+    return np.concatenate(keys), np.concatenate(xs)
+
+
+def test_trees_against_brute_force():
+    keys, x = grouped(np.random.default_rng(11), 25)
+    lab = Forest(keys, x).connect()
+    for g in np.unique(keys):
+        at = np.flatnonzero(keys == g)
+        want = brute({int(i): int(x[i]) for i in at})
+        assert [want[int(i)] for i in lab[at]] == [want[int(i)] for i in at]
+        assert len(set(lab[at].tolist())) == len(set(want.values()))
+
+
+def test_trees_prune():
+    """Most of what a pairwise comparison would look at is left with its subtree, in clusters and at random."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    near = np.unique(np.repeat(base, 100) ^ (np.uint64(1) << rng.integers(0, 64, 4000, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 4000, dtype=np.uint64)))
+    apart = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64))
+    for x, most in ((near, 0.1), (apart, 0.6)):
+        x = x[np.argsort(gray_rank(x))]
+        f = Forest(np.zeros(len(x)), x)
+        f.connect()
+        assert len(f.levels) == 5 and f.pruned > f.met / 2
+        assert f.compared < most * len(x) ** 2 / 2
+
+
+def test_nodes_hold_what_all_below_share():
+    keys, x = grouped(np.random.default_rng(12), 6)
+    f = Forest(keys, x)
+    begin = np.arange(len(x))
+    for level in range(1, len(f.levels)):
+        ones, zeros, cut, stop = f.levels[level]
+        begin = begin[cut[:-1]]
+        for i, (a, b) in enumerate(zip(begin, stop, strict=True)):
+            assert len(set(keys[a:b])) == 1
+            assert ones[i] == np.bitwise_and.reduce(x[a:b]) and zeros[i] == np.bitwise_and.reduce(~x[a:b])
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = near_duplicates(docs).collect()
@@ -73,8 +124,9 @@ def test_documents(spark):
     assert {r.doc_id: r.component_id for r in got} == brute(fps)
 
 
-def test_hot_node_is_tiled(spark, monkeypatch):
-    monkeypatch.setattr("colscan.llm.simhash.TILE", 20)
+@pytest.mark.parametrize("most", [3, 20, 200])
+def test_hot_node_is_parted_and_tiled(spark, monkeypatch, most):
+    monkeypatch.setattr("colscan.llm.simhash.TILE", most)
     rng = np.random.default_rng(3)
     fps = {i: int(v) for i, v in enumerate(np.unique(np.uint64(2**62 + 12345) ^ (np.uint64(1) << rng.integers(0, 40, 300, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 40, 300, dtype=np.uint64))))}
     rows = links(spark.createDataFrame([(v,) for v in fps.values()], "fp long")).collect()
@@ -94,6 +146,19 @@ def test_edges(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    long_ = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(1, long_("a"), "x"), (1, long_("b"), "y"), (2, long_("b"), "z"), (3, long_("c"), "q"), (3, long_("c"), "p"), (3, long_("c"), "p"), (None, long_("c"), "n")]
+    got = keep_one(spark.createDataFrame(rows, "doc_id long, text string, `n` string")).collect()
+    assert sorted((r.doc_id or 0, r.text[0], r.n) for r in got) == [(0, "c", "n"), (1, "a", "x"), (1, "b", "y"), (3, "c", "p")]
+
+
+@pytest.mark.parametrize("name", ["__id", "h", "d", "first", "n", "a.b"])
+def test_keep_one_clashing_names(spark, name):
+    docs = spark.createDataFrame([(1, "a b c d", "k"), (2, "a b c d", "l")], f"doc_id long, text string, `{name}` string")
+    assert [tuple(r) for r in keep_one(docs).collect()] == [(1, "a b c d", "k")]
+
+
 def test_fingerprints_ignore_other_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d", "k", 7)], "doc_id long, text string, fp string, node long")
     assert near_duplicates(docs).columns == ["doc_id", "fingerprint", "component_id"]
