@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import crypto, encodings
+from .functions import codecs, crypto, encodings
 from .operators import adaptive, dictionary, masks, ordered, stats
 from .plans.tpch import promo_share
 from .session import shared_dir
+from .sources import metadata
 from .sources.scan import footers, scan
 from .sources.writer import WriteOptions, write
 from .streaming import stream
@@ -157,7 +159,7 @@ def adaptive_low(spark, d):
 @query("select count(*) as rows_in, count(*) filter (where value < 20) as rows_passed, round(avg((value < 20)::int), 6) as selectivity, case when avg((value < 20)::int) > 0.1 then 'values' else 'mask' end as dispatch from (select * from events order by event_id limit 1536)")
 def selectivity_probe(spark, d):
     p = adaptive.adaptive_filter(_t(spark, d, "events", ["event_id", "value"]), "value", lambda c: c < 20, "event_id", 512).probe
-    return spark.range(1).select(F.lit(p.rows_in).cast("long").alias("rows_in"), F.lit(p.rows_passed).cast("long").alias("rows_passed"), F.lit(round(p.selectivity, 6)).alias("selectivity"), F.lit(p.dispatch).alias("dispatch"))
+    return spark.range(1).select(F.lit(p.rows_in).cast("long").alias("rows_in"), F.lit(p.rows_passed).cast("long").alias("rows_passed"), F.round(F.lit(p.selectivity), 6).alias("selectivity"), F.lit(p.dispatch).alias("dispatch"))
 
 
 # Dictionaries
@@ -257,28 +259,83 @@ def bloom_blocks(spark, d):
 # Writers: what is written is read again
 
 
-def _round_trip(name: str, table: str, columns: list[str], options: WriteOptions) -> None:
-    @query(f"select {', '.join(columns)} from {table}", name)
+def _facts(spark, out: str) -> dict[str, str]:
+    """What the files' footers and page headers say of how they were written."""
+    c = metadata.chunks(spark, out)
+    by_column = lambda what: F.array_join(F.array_sort(F.collect_set(F.concat_ws("=", "path", what))), " ")
+    dictionary = F.when(F.col("dictionary_page_offset").isNotNull() | F.array_contains("encodings", "RLE_DICTIONARY"), "dictionary").otherwise("plain")
+    bloom = F.when(F.col("bloom_filter_offset").isNotNull(), "bloom").otherwise("none")
+    out_ = c.agg(by_column(F.col("codec")).alias("codecs"), by_column(dictionary).alias("dictionaries"), by_column(bloom).alias("blooms")).first().asDict()
+    groups = metadata.row_groups(spark, out).agg(F.max("n_rows").cast("string").alias("rows_most")).first()
+    kinds = metadata.pages(spark, out).where("type <> 'DICTIONARY_PAGE'").agg(F.array_join(F.array_sort(F.collect_set("type")), " ").alias("pages")).first()
+    return out_ | groups.asDict() | kinds.asDict()
+
+
+def _round_trip(name: str, table: str, columns: list[str], options: WriteOptions, **facts: str) -> None:
+    """The rows that were written, each with some facts of the files beside what they ought to be."""
+
+    @query(f"select {', '.join(columns)}, {', '.join(f'{v!r} as {k}' for k, v in facts.items())} from {table}", name)
     def run(spark, d):
         out = shared_dir(spark)
         write(_t(spark, d, table, columns), out, options)
-        return spark.read.parquet(out)
+        found = _facts(spark, out)
+        return spark.read.parquet(out).select(*columns, *[F.lit(found[k]).alias(k) for k in facts])
 
 
 for _codec in ("uncompressed", "snappy", "gzip", "zstd", "lz4_raw"):
-    _round_trip(f"writer_codec_{_codec}", "orders", ["o_orderkey", "o_totalprice", "o_orderpriority"], WriteOptions(codec=_codec))
-_round_trip("writer_zstd_level", "orders", ["o_orderkey", "o_orderpriority"], WriteOptions(codec="zstd", level=12))
-_round_trip("writer_per_column_codec", "orders", ["o_orderkey", "o_totalprice", "o_orderpriority"], WriteOptions(codec="snappy", codecs={"o_orderkey": "zstd", "o_orderpriority": "gzip"}))
-_round_trip("writer_v2", "lineitem", ["l_orderkey", "l_quantity", "l_returnflag"], WriteOptions(page_version=2))
-_round_trip("writer_dictionary", "lineitem", ["l_returnflag", "l_linestatus"], WriteOptions(dictionary={"l_returnflag": True}, dictionary_default=False))
-_round_trip("writer_row_groups", "orders", ["o_orderkey", "o_custkey"], WriteOptions(rows_per_group=1000))
-
-
-@query("select o_orderkey, o_custkey from orders where o_custkey = 77")
+    _round_trip(f"writer_codec_{_codec}", "orders", ["o_orderkey", "o_totalprice", "o_orderpriority"], WriteOptions(codec=_codec), codecs=f"o_orderkey={_codec.upper()} o_orderpriority={_codec.upper()} o_totalprice={_codec.upper()}")
+_round_trip("writer_per_column_codec", "orders", ["o_orderkey", "o_totalprice", "o_orderpriority"], WriteOptions(codec="snappy", codecs={"o_orderkey": "zstd", "o_orderpriority": "gzip"}), codecs="o_orderkey=ZSTD o_orderpriority=GZIP o_totalprice=SNAPPY")
+_round_trip("writer_brotli", "orders", ["o_orderkey", "o_custkey"], WriteOptions(codec="snappy", codecs={"o_orderkey": "gzip"}, level=9, page_version=2), codecs="o_custkey=SNAPPY o_orderkey=GZIP", pages="DATA_PAGE_V2")
+_round_trip("writer_v1", "lineitem", ["l_orderkey", "l_quantity", "l_returnflag"], WriteOptions(), pages="DATA_PAGE")
+_round_trip("writer_v2", "lineitem", ["l_orderkey", "l_quantity", "l_returnflag"], WriteOptions(page_version=2), pages="DATA_PAGE_V2")
+_round_trip("writer_dictionary", "lineitem", ["l_returnflag", "l_linestatus"], WriteOptions(dictionary={"l_returnflag": True}, dictionary_default=False), dictionaries="l_linestatus=plain l_returnflag=dictionary")
+_round_trip("writer_row_groups", "orders", ["o_orderkey", "o_custkey"], WriteOptions(rows_per_group=1000), rows_most="1000")
+_round_trip("writer_dictionary_and_bloom", "orders", ["o_orderkey", "o_custkey"], WriteOptions(dictionary={"o_custkey": True, "o_orderkey": False}, blooms={"o_orderkey": (20_000, 0.01)}), dictionaries="o_custkey=dictionary o_orderkey=plain", blooms="o_custkey=none o_orderkey=bloom")
+
+
+@query("select o_orderkey, o_orderpriority, true as smaller from orders")
+def writer_zstd_level(spark, d):
+    """A high level makes smaller files than a low one."""
+    outs, sizes = [shared_dir(spark), shared_dir(spark)], []
+    for out, level in zip(outs, (1, 19), strict=True):
+        write(_t(spark, d, "orders", ["o_orderkey", "o_orderpriority"]), out, WriteOptions(codec="zstd", level=level, dictionary_default=False))
+        sizes.append(metadata.chunks(spark, out).agg(F.sum("total_compressed_size")).first()[0])
+    return spark.read.parquet(outs[1]).withColumn("smaller", F.lit(sizes[1] < sizes[0]))
+
+
+for _kind, _type in (("i64", "bigint"), ("i32", "int"), ("f64", "double"), ("bool", "boolean"), ("string", "string")):
+    _cast = f"cast(o_orderkey % {2 if _kind == 'bool' else 50} as {_type if _type != 'string' else 'varchar'})"
+    for _codec, _dictionary, _bloom in (("uncompressed", False, False), ("zstd", False, False), ("snappy", True, False), ("snappy", False, True)):
+        if _kind == "bool" and (_dictionary or _bloom):
+            continue
+        _how = "_".join([_codec, *["dictionary"] * _dictionary, *["bloom"] * _bloom])
+
+        @query(f"select {_cast} as v, 'v={_codec.upper()}' as codecs, '{'v=dictionary' if _dictionary else 'v=plain'}' as dictionaries, '{'v=bloom' if _bloom else 'v=none'}' as blooms from orders", f"writer_{_kind}_{_how}")
+        def _column_writer(spark, d, kind=_type, most=2 if _kind == "bool" else 50, codec=_codec, dictionary=_dictionary, bloom=_bloom):
+            out = shared_dir(spark)
+            v = (F.col("o_orderkey") % most).cast(kind)
+            options = WriteOptions(codec=codec, dictionary_default=dictionary, blooms={"v": (20_000, 0.01)} if bloom else {})
+            write(_t(spark, d, "orders", ["o_orderkey"]).select(v.alias("v")), out, options)
+            found = _facts(spark, out)
+            return spark.read.parquet(out).select("v", *[F.lit(found[k]).alias(k) for k in ("codecs", "dictionaries", "blooms")])
+
+
+@query("select o_custkey, true as held, true as true_rate from orders group by 1")
 def bloom_probe(spark, d):
+    """Every value is held by its file's Bloom filter, and few others are."""
     out = shared_dir(spark)
-    write(_t(spark, d, "orders", ["o_orderkey", "o_custkey"]), out, WriteOptions(blooms={"o_custkey": (20_000, 0.01)}))
-    return spark.read.parquet(out).where("o_custkey = 77")
+    orders = _t(spark, d, "orders", ["o_orderkey", "o_custkey"]).coalesce(1)
+    write(orders, out, WriteOptions(blooms={"o_custkey": (20_000, 0.01)}))
+    bloom = codecs.BlockBloom.from_bytes(metadata.bloom_filters(spark, out).first()["filter"])  # one filter of 32 KB
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bloom.has(b.column(1).to_numpy().view("u8")))], names=["o_custkey", "held"])
+
+    hashed = codecs.with_hash(spark.read.parquet(out).select("o_custkey").distinct(), "o_custkey", "h")
+    others = codecs.with_hash(spark.range(1 << 40, (1 << 40) + 5000), "id", "h").mapInArrow(held, "o_custkey long, held boolean")
+    rate = others.where("held").count() / 5000
+    return hashed.mapInArrow(held, "o_custkey long, held boolean").withColumn("true_rate", F.lit(rate < 0.02))
 
 
 @query("select g as row_group, count(*) as n_rows, min(o_orderkey) as lo, max(o_orderkey) as hi from (select o_orderkey, (row_number() over (order by o_orderkey) - 1) // 1000 as g from orders) group by g")
@@ -304,7 +361,6 @@ def batches(spark, d):
 
 @query("select count(*) as n, sum(user_id)::bigint as v from events")
 def arrow_batches(spark, d):
-    import pyarrow as pa
     import pyarrow.compute as pc
 
     e = _t(spark, d, "events", ["user_id"])

@@ -7,8 +7,9 @@ import gzip
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 TYPES = {"int32": "<i4", "int64": "<i8", "float": "<f4", "double": "<f8"}
 
@@ -25,10 +26,12 @@ def plain_decode_bool(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[:n].astype(bool)
 
 
-def plain_decode_bytes(data: bytes) -> list[bytes]:
-    """Values with 32-bit little-endian lengths before them."""
+def plain_decode_bytes(data: bytes, n_values: int | None = None) -> list[bytes]:
+    """Values with 32-bit little-endian lengths before them: all, or the first ``n_values``."""
     out, at = [], 0
-    while at < len(data):
+    while at < len(data) if n_values is None else len(out) < n_values:
+        if at + 4 > len(data):
+            raise ValueError("length runs past the page")
         n = int.from_bytes(data[at : at + 4], "little")
         if at + 4 + n > len(data):
             raise ValueError("value runs past the page")
@@ -43,6 +46,50 @@ def plain_decode_fixed(data: bytes, width: int) -> list[bytes]:
     return [data[i : i + width] for i in range(0, len(data), width)]
 
 
+#: Fixed value: the Julian day of 1970-01-01.
+EPOCH_DAY = 2_440_588
+
+
+def plain_decode_int96(data: bytes, n: int | None = None) -> np.ndarray:
+    """INT96 timestamps (nanoseconds of the day, then the Julian day) as nanoseconds since 1970."""
+    if len(data) % 12 and n is None or n is not None and len(data) < 12 * n:
+        raise ValueError("ragged INT96 page")
+    raw = np.frombuffer(data, np.dtype([("nanos", "<i8"), ("day", "<i4")]), -1 if n is None else n)
+    return (raw["day"].astype(np.int64) - EPOCH_DAY) * 86_400_000_000_000 + raw["nanos"]
+
+
+def int96(nanos: int) -> bytes:
+    """One timestamp as INT96."""
+    day, rest = divmod(int(nanos), 86_400_000_000_000)
+    return rest.to_bytes(8, "little") + (day + EPOCH_DAY).to_bytes(4, "little")
+
+
+def plain(data: bytes, kind: str, n: int, width: int = 0):
+    """``n`` PLAIN values of any physical type, by its name in lower case."""
+    if kind == "boolean":
+        return plain_decode_bool(data, n)
+    if kind == "byte_array":
+        return plain_decode_bytes(data, n)
+    if kind == "fixed_len_byte_array":
+        return plain_decode_fixed(data[: n * width], width)
+    return plain_decode_int96(data, n) if kind == "int96" else plain_decode(data, kind, n)
+
+
+def lookup(dictionary, codes: np.ndarray):
+    """Dictionary entries of codes; a code that the dictionary lacks is an error."""
+    codes = np.asarray(codes, np.int64)
+    if len(codes) and codes.max() >= len(dictionary):
+        raise ValueError(f"code {codes.max()} of {len(dictionary)} entries")
+    return dictionary[codes] if isinstance(dictionary, np.ndarray) else [dictionary[c] for c in codes.tolist()]
+
+
+def small_codes(codes: np.ndarray, width: int) -> np.ndarray:
+    """Codes as bytes; a bit width over 8 is an error."""
+    if width > 8:
+        raise ValueError(f"{width} bits are no byte")
+    return np.asarray(codes).astype(np.uint8)
+
+
 def bit_unpack(data: bytes, width: int, n: int) -> np.ndarray:
     """``n`` unsigned values of ``width`` bits, lowest bit first."""
     if width == 0:
@@ -119,14 +166,19 @@ def hybrid_encode(values: np.ndarray, width: int, shortest: int = 8) -> bytes:
     return bytes(out)
 
 
-def delta_decode(data: bytes) -> np.ndarray:
-    """DELTA_BINARY_PACKED values as 64-bit integers."""
-    block, at = read_varint(data, 0)
+def delta_read(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
+    """DELTA_BINARY_PACKED values as 64-bit integers, and where they end. The last block has all its miniblocks' widths,
+    but bytes only for miniblocks that hold values."""
+    block, at = read_varint(data, at)
     minis, at = read_varint(data, at)
     total, at = read_varint(data, at)
     unzig = lambda z: (z >> 1) ^ -(z & 1)
     first, at = read_varint(data, at)
-    out = [np.array([unzig(first)] if total else [], np.int64)]
+    if not minis or block % minis or block // minis % 8:
+        raise ValueError(f"{block} values do not make {minis} miniblocks")
+    if not total:
+        return np.zeros(0, np.int64), at
+    out = [np.array([unzig(first)], np.int64)]
     have, per = 1, block // minis
     while have < total:
         low, at = read_varint(data, at)
@@ -140,7 +192,70 @@ def delta_decode(data: bytes) -> np.ndarray:
             at += size
             out.append(part[: total - have])
             have += len(out[-1])
-    return np.cumsum(np.concatenate(out), dtype=np.int64)
+    return np.cumsum(np.concatenate(out), dtype=np.int64), at
+
+
+def delta_decode(data: bytes) -> np.ndarray:
+    return delta_read(data)[0]
+
+
+def delta_encode(values: np.ndarray, block: int = 128, minis: int = 4) -> bytes:
+    """DELTA_BINARY_PACKED; differences wrap around at 64 bits."""
+    v = np.asarray(values, np.int64)
+    zig = lambda n: (int(n) << 1 ^ int(n) >> 63) & (1 << 64) - 1
+    out = bytearray(varint(block) + varint(minis) + varint(len(v)) + varint(zig(v[0]) if len(v) else 0))
+    steps, per = np.diff(v.view(np.uint64)).view(np.int64), block // minis
+    for a in range(0, len(steps), block):
+        part = steps[a : a + block]
+        low = part.min()
+        over = part.view(np.uint64) - np.uint64(low.view(np.uint64) if isinstance(low, np.int64) else low)
+        chunks = [over[i : i + per] for i in range(0, block, per)]
+        widths = [int(c.max()).bit_length() if len(c) else 0 for c in chunks]
+        out += varint(zig(low)) + bytes(widths)
+        for c, w in zip(chunks, widths, strict=True):
+            if len(c):
+                out += bit_pack(np.r_[c, np.zeros(per - len(c), np.uint64)], w)
+    return bytes(out)
+
+
+def delta_length_decode(data: bytes) -> list[bytes]:
+    """DELTA_LENGTH_BYTE_ARRAY: all lengths, then the bytes."""
+    lengths, at = delta_read(data)
+    if (lengths < 0).any() or at + int(lengths.sum()) > len(data):
+        raise ValueError("values run past the page")
+    ends = at + np.cumsum(lengths)
+    return [data[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+
+
+def delta_length_encode(values: list[bytes]) -> bytes:
+    return delta_encode(np.array([len(v) for v in values], np.int64)) + b"".join(values)
+
+
+def delta_bytes_decode(data: bytes) -> list[bytes]:
+    """DELTA_BYTE_ARRAY: what each value shares with the one before, then the rests."""
+    shared, at = delta_read(data)
+    rests = delta_length_decode(data[at:])
+    if len(rests) != len(shared):
+        raise ValueError(f"{len(shared)} prefixes, {len(rests)} rests")
+    out, last = [], b""
+    for n, rest in zip(shared.tolist(), rests, strict=True):
+        if not 0 <= n <= len(last):
+            raise ValueError(f"prefix of {n} bytes of {len(last)}")
+        last = last[:n] + rest
+        out.append(last)
+    return out
+
+
+def shared_prefix(a: bytes, b: bytes) -> int:
+    """Bytes that two values have in common at their beginning."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)) if n else ()
+    return int(differ[0]) if len(differ) else n
+
+
+def delta_bytes_encode(values: list[bytes]) -> bytes:
+    shared = [shared_prefix(a, b) for a, b in zip([b"", *values], values, strict=False)]
+    return delta_encode(np.array(shared, np.int64)) + delta_length_encode([v[n:] for v, n in zip(values, shared, strict=True)])
 
 
 def stream_split_encode(values: np.ndarray) -> bytes:
@@ -156,22 +271,45 @@ def stream_split_decode(data: bytes, kind: str) -> np.ndarray:
 
 
 def compress(data: bytes, codec: str, level: int | None = None) -> bytes:
-    """snappy, zstd, gzip, brotli or lz4_raw block."""
+    """snappy, zstd, gzip, brotli or lz4_raw block, or the bytes themselves."""
+    if codec == "uncompressed":
+        return data
     if codec == "gzip":
         return gzip.compress(data, 6 if level is None else level)
     return pa.Codec(codec, compression_level=level).compress(data, asbytes=True)
 
 
 def decompress(data: bytes, codec: str, size: int) -> bytes:
+    """The block's ``size`` bytes; another size is an error."""
+    if codec == "uncompressed":
+        return data
+    out = _decompress(data, codec, size)
+    if len(out) != size:
+        raise ValueError(f"{len(out)} bytes instead of {size}")
+    return out
+
+
+def _decompress(data: bytes, codec: str, size: int) -> bytes:
     return gzip.decompress(data) if codec == "gzip" else pa.Codec(codec).decompress(data, size, asbytes=True)
 
 
-def parquet_hash(value) -> int:
-    """XXH64 with seed 0 of the PLAIN bytes of a value, as Bloom filters use it."""
+def plain_bytes(value, kind: str | None = None) -> bytes:
+    """PLAIN bytes of a value, without the length that a byte array has before it. ``kind`` is the physical type (int32,
+    int64, float, double, boolean, byte_array); left out, integers are of 64 bits and floats double."""
+    if isinstance(value, str):
+        return value.encode()
+    if isinstance(value, bytes | bytearray | memoryview):
+        return bytes(value)
+    if kind is None:
+        kind = "boolean" if isinstance(value, bool | np.bool_) else "int64" if isinstance(value, int | np.integer) else "double"
+    return bytes([bool(value)]) if kind == "boolean" else np.array(value, TYPES[kind]).tobytes()
+
+
+def parquet_hash(value, kind: str | None = None, seed: int = 0) -> int:
+    """XXH64 of the PLAIN bytes of a value; Bloom filters use it with seed 0."""
     import xxhash
 
-    raw = value if isinstance(value, bytes) else value.encode() if isinstance(value, str) else int(value).to_bytes(8, "little", signed=True) if isinstance(value, int | np.integer) else np.float64(value).tobytes()
-    return xxhash.xxh64_intdigest(raw)
+    return xxhash.xxh64_intdigest(plain_bytes(value, kind), seed)
 
 
 #: Fixed values of the split-block Bloom filter.
@@ -182,8 +320,41 @@ class BlockBloom:
     """Split-block Bloom filter: blocks of eight 32-bit words, one bit of each for a hash."""
 
     def __init__(self, blocks: int, words: np.ndarray | None = None):
+        if blocks < 1:
+            raise ValueError("a filter has a block at least")
         self.words = np.zeros((blocks, 8), np.uint32) if words is None else words
 
+    @classmethod
+    def from_bytes(cls, data: bytes) -> BlockBloom:
+        """A filter as files have it: header, then its bits."""
+        from . import thrift
+
+        head, at = thrift.read(data, thrift.BLOOM_HEADER)
+        wanted = {"algorithm": "BLOCK", "hash": "XXHASH", "compression": "UNCOMPRESSED"}
+        for name, value in wanted.items():
+            if thrift.chosen(head[name]) != value:
+                raise thrift.FormatError(f"{name} is not {value}", at)
+        size = head["num_bytes"]
+        if size <= 0 or size % 32 or at + size > len(data):
+            raise thrift.FormatError(f"no filter of {size} bytes", at)
+        return cls(size // 32, np.frombuffer(data, "<u4", size // 4, at).reshape(-1, 8).astype(np.uint32))
+
+    def to_bytes(self) -> bytes:
+        from . import thrift
+
+        head = {"num_bytes": self.words.nbytes, "algorithm": {"BLOCK": {}}, "hash": {"XXHASH": {}}, "compression": {"UNCOMPRESSED": {}}}
+        return thrift.write(head, thrift.BLOOM_HEADER) + self.words.astype("<u4").tobytes()
+
+    @property
+    def num_blocks(self) -> int:
+        return len(self.words)
+
+    def add_bytes(self, values: list[bytes]) -> None:
+        self.add(np.array([parquet_hash(v) for v in values], np.uint64))
+
+    def has_bytes(self, values: list[bytes]) -> np.ndarray:
+        return self.has(np.array([parquet_hash(v) for v in values], np.uint64))
+
     def place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = np.asarray(hashes, np.uint64)
         block = ((h >> np.uint64(32)) * np.uint64(len(self.words))) >> np.uint64(32)
@@ -199,10 +370,37 @@ class BlockBloom:
         return ((self.words[block] & mask) == mask).all(axis=1)
 
 
-@F.pandas_udf(LongType())
-def hash_of(values: pd.Series) -> pd.Series:
-    """Column form of ``parquet_hash``."""
-    return values.map(lambda v: None if v is None else np.uint64(parquet_hash(v)).astype(np.int64)).astype("Int64")
+#: Physical types of Spark's types, and the widths at which their values are hashed.
+PHYSICAL = {"tinyint": "int32", "smallint": "int32", "int": "int32", "date": "int32", "bigint": "int64", "timestamp": "int64", "timestamp_ntz": "int64", "float": "float", "double": "double", "string": "byte_array", "binary": "byte_array", "boolean": "boolean"}
+
+
+def hashed(values: pa.Array, kind: str, seed: int = 0) -> pa.Array:
+    """``parquet_hash`` of an Arrow array of the physical type ``kind``, as signed 64-bit integers; nulls stay null."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    if kind == "byte_array":
+        raw = values.cast(pa.binary()).to_pylist()
+    elif kind == "boolean":
+        raw = [None if v is None else bytes([v]) for v in values.to_pylist()]
+    else:
+        t = np.dtype(TYPES[kind])
+        whole = values.cast(pa.from_numpy_dtype(t)) if not pa.types.is_temporal(values.type) else values.cast(pa.int32() if t.itemsize == 4 else pa.int64())
+        data = np.asarray(whole.fill_null(0)).astype(t).tobytes()
+        raw = [None if null else data[i * t.itemsize : (i + 1) * t.itemsize] for i, null in enumerate(values.is_null().to_pylist())]
+    return pa.array([None if v is None else np.uint64(digest(v, seed)).astype(np.int64) for v in raw], pa.int64())
+
+
+def with_hash(df: DataFrame, column: str, name: str, kind: str | None = None, seed: int = 0) -> DataFrame:
+    """``df`` with ``name``: the hash of ``column`` at the width of its physical type, over Arrow batches."""
+    kind = kind or PHYSICAL[df.schema[column].dataType.simpleString()]
+    at = df.columns.index(column)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, hashed(b.column(at), kind, seed)], names=[*b.schema.names, name])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, LongType())]))
 
 
 @F.pandas_udf(ArrayType(LongType()))

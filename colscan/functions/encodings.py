@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordered import previous, row_index, running_sum
+from ..operators.ordered import layout, previous, row_index, running_sum
 
 
 def runs(df: DataFrame, column: str, key: str) -> DataFrame:
     """(run, value, n): maximal runs of equal values in order of ``key``; nulls equal nulls."""
-    rows = previous(df.select(key, column), column, key, "__before")
-    rows = previous(rows.withColumn("__one", F.lit(1)), "__one", key, "__has")
-    starts = F.when(F.col("__has").isNull() | ~F.col(column).eqNullSafe(F.col("__before")), 1).otherwise(0)
-    return running_sum(rows, starts, key, "run").groupBy("run").agg(F.first(column).alias("value"), F.count("*").alias("n"))
+    at = layout(df, key)
+    rows = previous(df.select(key, column, F.struct(column).alias("__own")), "__own", key, "__before", *at)
+    starts = F.when(F.col("__before").isNull() | ~F.col(column).eqNullSafe(F.col(f"__before.{column}")), 1).otherwise(0)
+    return running_sum(rows.select(key, column, starts.alias("__start")), F.col("__start"), key, "run", *at).groupBy("run").agg(F.first(column).alias("value"), F.count("*").alias("n"))
 
 
 def expand(run_table: DataFrame) -> DataFrame:
@@ -21,9 +21,9 @@ def expand(run_table: DataFrame) -> DataFrame:
     return run_table.select("run", "value", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("at"))
 
 
-def deltas(df: DataFrame, column: str, key: str) -> DataFrame:
+def deltas(df: DataFrame, column: str, key: str, at: tuple[int, int] | None = None) -> DataFrame:
     """(key, delta): the first value itself, then differences."""
-    return previous(df.select(key, column), column, key, "__before").select(key, (F.col(column) - F.coalesce("__before", F.lit(0))).alias("delta"))
+    return previous(df.select(key, column), column, key, "__before", *(at or layout(df, key))).select(key, (F.col(column) - F.coalesce("__before", F.lit(0))).alias("delta"))
 
 
 def undelta(encoded: DataFrame, key: str, name: str) -> DataFrame:
@@ -32,7 +32,8 @@ def undelta(encoded: DataFrame, key: str, name: str) -> DataFrame:
 
 def delta_blocks(df: DataFrame, column: str, key: str, size: int = 128) -> DataFrame:
     """(block, min_delta, max_bits): the least difference of each block of ``size`` and the bits of the others over it."""
-    rows = row_index(deltas(df, column, key), key).where("row_index > 0").withColumn("block", F.floor((F.col("row_index") - 1) / size))
+    at = layout(df, key)
+    rows = row_index(deltas(df, column, key, at), key, "row_index", *at).where("row_index > 0").withColumn("block", F.floor((F.col("row_index") - 1) / size))
     out = rows.groupBy("block").agg(F.min("delta").alias("min_delta"), F.max("delta").alias("__max"))
     spread = F.col("__max") - F.col("min_delta")
     return out.select("block", "min_delta", F.when(spread == 0, 0).otherwise(F.length(F.bin(spread))).alias("max_bits"))
@@ -40,9 +41,17 @@ def delta_blocks(df: DataFrame, column: str, key: str, size: int = 128) -> DataF
 
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of the longest common prefix in characters."""
+    # Bisected: 31 steps suffice for any string, and stop changing once both ends meet.
     n = F.least(F.length(a), F.length(b))
-    same = F.filter(F.sequence(F.lit(0), n), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i))
-    return F.when(a.isNull() | b.isNull(), 0).otherwise(F.array_max(same))
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+        same = F.substring(a, F.lit(1), mid) == F.substring(b, F.lit(1), mid)
+        return F.struct(F.when(same, mid).otherwise(s["lo"]).alias("lo"), F.when(same, s["hi"]).otherwise(F.greatest(s["lo"], mid - 1)).alias("hi"))
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
+    found = F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), n.alias("hi")), step, lambda s: s["lo"])
+    return F.when(a.isNull() | b.isNull(), 0).otherwise(found)
 
 
 def prefixes(df: DataFrame, column: str, key: str) -> DataFrame:
@@ -54,7 +63,13 @@ def prefixes(df: DataFrame, column: str, key: str) -> DataFrame:
 def offsets(df: DataFrame, column: str, key: str) -> DataFrame:
     """(key, begin, end): place of each value's bytes in the column's concatenation."""
     n = F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
-    return running_sum(df.select(key, column), n, key, "end_").select(key, (F.col("end_") - n).alias("begin_offset"), F.col("end_").alias("end_offset"))
+    sizes = df.select(key, n.alias("__n"))  # the bytes themselves do not move
+    return running_sum(sizes, F.col("__n"), key, "end_").select(key, (F.col("end_") - F.col("__n")).alias("begin_offset"), F.col("end_").alias("end_offset"))
+
+
+def masked_offsets(df: DataFrame, column: str, key: str, mask: Column) -> DataFrame:
+    """``offsets`` of the rows that pass, as if only they were there; a null mask is false."""
+    return offsets(df.where(mask).select(key, column), column, key)
 
 
 def levels(df: DataFrame, column: str, key: str) -> DataFrame:

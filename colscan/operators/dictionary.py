@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import row_index
+
+#: Entries of a dictionary that is broadcast to its codes' rows.
+ENTRIES = 100_000
+
 
 def dictionary(df: DataFrame, column: str, key: str) -> DataFrame:
     """(code, value, first): the distinct values in order of their first row; nulls have no code.
@@ -14,7 +19,13 @@ def dictionary(df: DataFrame, column: str, key: str) -> DataFrame:
     Only the distinct values are put in one order, not the rows.
     """
     found = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(key).alias("first"))
-    return found.select((F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("code"), "value", "first")
+    return row_index(found, "first", "code").select(F.col("code").cast("long").alias("code"), "value", "first")
+
+
+def small_enough(entries: DataFrame) -> DataFrame:
+    """``entries``, to be broadcast if they are no more than ``ENTRIES``; else both sides are shuffled, and AQE splits
+    what is frequent."""
+    return F.broadcast(entries) if entries.limit(ENTRIES + 1).count() <= ENTRIES else entries
 
 
 def encode(df: DataFrame, column: str, key: str, small: bool = False) -> DataFrame:
@@ -24,17 +35,21 @@ def encode(df: DataFrame, column: str, key: str, small: bool = False) -> DataFra
         if codes.limit(257).count() > 256:
             raise ValueError("over 256 distinct values")
         codes = codes.withColumn("code", F.col("code").cast("smallint"))
+    codes = small_enough(codes.select("code", "value"))
     return df.join(codes, df[column] == codes["value"], "left").select(df[key], "code")
 
 
 def decode(codes: DataFrame, entries: DataFrame, key: str, name: str) -> DataFrame:
     """Codes back to values; a code that the dictionary lacks is an error."""
-    out = codes.join(entries.select("code", F.col("value").alias(name)), "code", "left")
+    out = codes.join(small_enough(entries.select("code", F.col("value").alias(name))), "code", "left")
     return out.withColumn("__ok", F.assert_true(F.col("code").isNull() | F.col(name).isNotNull(), F.lit("code out of range"))).where("__ok is null").select(key, name)
 
 
-def by_dictionary(df: DataFrame, column: str, predicate: Callable[[Column], Column]) -> DataFrame:
-    """Rows whose value passes; the predicate runs once for each distinct value."""
+def by_dictionary(df: DataFrame, column: str, predicate: Callable[[Column], Column], expensive: bool = False) -> DataFrame:
+    """Rows whose value passes. An ``expensive`` predicate runs once for each distinct value; any other is pushed to the scan,
+    where Parquet's own dictionaries and statistics decide."""
+    if not expensive:
+        return df.where(predicate(F.col(column)))
     keep = df.select(F.col(column).alias("__value")).distinct().where(predicate(F.col("__value")))
     return df.join(keep, df[column] == keep["__value"], "left_semi")
 

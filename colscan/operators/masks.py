@@ -19,7 +19,8 @@ def gather(df: DataFrame, predicate: Column, columns: list[str]) -> DataFrame:
 
 
 def gather_by(df: DataFrame, mask: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The same for a mask made elsewhere: the keys of ``mask`` whose bit is set."""
+    """The same for a mask made elsewhere: the keys of ``mask`` whose bit is set. A key that stands there several times is set
+    if any of its bits is."""
     return df.join(mask.where("mask").select(key), key, "left_semi").select(*columns)
 
 
@@ -52,7 +53,11 @@ def between(df: DataFrame, column: str, lo, hi) -> DataFrame:
 
 def zone_map(df: DataFrame, column: str, key: str, page_rows: int) -> DataFrame:
     """(page, lo, hi, rows, nulls) for logical pages of ``page_rows`` rows in order of ``key``."""
-    pages = row_index(df, key).withColumn("page", F.floor(F.col("row_index") / page_rows))
+    return zones(row_index(df, key).withColumn("page", F.floor(F.col("row_index") / page_rows)), column)
+
+
+def zones(pages: DataFrame, column: str) -> DataFrame:
+    """Bounds and counts of rows that have a page."""
     return pages.groupBy("page").agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count("*").alias("n_rows"), F.count_if(F.col(column).isNull()).alias("nulls"))
 
 
@@ -64,5 +69,6 @@ def page_keep_mask(zones: DataFrame, lo, hi) -> DataFrame:
 
 def pruned_superset(df: DataFrame, column: str, key: str, lo, hi, page_rows: int) -> DataFrame:
     """All rows of the pages that may hold a value in range: a superset of ``between``."""
-    keep = page_keep_mask(zone_map(df, column, key, page_rows), lo, hi).where("keep").select("page")
-    return row_index(df, key).withColumn("page", F.floor(F.col("row_index") / page_rows)).join(keep, "page", "left_semi")
+    rows = row_index(df, key).withColumn("page", F.floor(F.col("row_index") / page_rows))
+    keep = page_keep_mask(zones(rows, column), lo, hi).where("keep").select("page")
+    return rows.join(keep, "page", "left_semi")

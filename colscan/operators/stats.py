@@ -21,12 +21,17 @@ def chunk_stats(df: DataFrame, column: str, chunk: Column | None = None) -> Data
     return df.groupBy((chunk if chunk is not None else F.lit(0)).alias("chunk")).agg(lo.alias("lo"), hi.alias("hi"), F.count_if(F.col(column).isNull()).alias("nulls"), F.count("*").alias("n_rows"))
 
 
+def clamped(fpp: float) -> float:
+    """A false-positive rate that a filter can have."""
+    return min(0.5, max(1e-12, fpp))
+
+
 def bloom_blocks(ndv: int, fpp: float) -> int:
-    """256-bit blocks of a split-block Bloom filter, a power of two: m = -8 n / ln(1 - p^(1/8)) bits."""
-    bits = -8 * max(1, ndv) / math.log(1 - fpp ** (1 / 8))
+    """256-bit blocks of a split-block Bloom filter, a power of two: m = -8 n / ln(1 - p^(1/8)) bits; one without values."""
+    bits = -8 * max(1, ndv) / math.log(1 - clamped(fpp) ** (1 / 8))
     return 1 << max(0, math.ceil(math.log2(max(1.0, math.ceil(bits / 256)))))
 
 
 def bloom_blocks_column(ndv: Column, fpp: float) -> Column:
-    bits = -8 * F.greatest(ndv, F.lit(1)) / F.log(F.lit(1 - fpp ** (1 / 8)))
+    bits = -8 * F.greatest(ndv, F.lit(1)) / F.log(F.lit(1 - clamped(fpp) ** (1 / 8)))
     return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.ceil(bits / 256))))).cast("long")

@@ -9,16 +9,18 @@ import pytest
 
 from colscan import catalogue
 
-SF = "/root/testdata/sf0.001"
+SIZES = ("sf0.001", "sf0.01")
 
 
 @pytest.fixture(scope="module")
 def duck():
-    con = duckdb.connect()
-    con.execute("set timezone='UTC'")
-    for f in glob.glob(f"{SF}/*.parquet"):
-        con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
-    return con
+    out = {}
+    for size in SIZES:
+        out[size] = con = duckdb.connect()
+        con.execute("set timezone='UTC'")
+        for f in glob.glob(f"/root/testdata/{size}/*.parquet"):
+            con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    return out
 
 
 def plain(v):
@@ -27,10 +29,11 @@ def plain(v):
     return f"{v:.9g}" if type(v).__name__ == "Decimal" and v % 1 else str(int(v)) if type(v).__name__ == "Decimal" else str(v)
 
 
+@pytest.mark.parametrize("size", SIZES)
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
-def test_query(spark, duck, name):
-    df = catalogue.queries()[name](spark, SF)
-    want = duck.execute(catalogue.oracle_sql()[name])
+def test_query(spark, duck, name, size):
+    df = catalogue.queries()[name](spark, f"/root/testdata/{size}")
+    want = duck[size].execute(catalogue.oracle_sql()[name])
     columns = [c[0] for c in want.description]
     assert sorted(df.columns) == sorted(columns)
     got = sorted(tuple(map(plain, r)) for r in df.select(*columns).collect())

@@ -69,13 +69,6 @@ def test_bloom():
     assert bloom.has(absent).mean() < 0.05
 
 
-def test_hash_column(spark):
-    import xxhash
-
-    got = spark.createDataFrame([("a",), ("é",)], "s string").select(codecs.hash_of("s").alias("h")).collect()
-    assert [r.h % 2**64 for r in got] == [xxhash.xxh64_intdigest("a"), xxhash.xxh64_intdigest("é".encode())]
-
-
 def test_row_groups_and_footers(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     write(spark.range(0, 4096).select((F.col("id") * 3 - 7).alias("v"), "id").coalesce(1), path, WriteOptions(codec="zstd", rows_per_group=1024, dictionary={"v": False}))
