@@ -6,12 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .repeats import Repeats
-from .wordhash import Words, slabs
+from .wordhash import Words
 
 #: Words of a stretch, and of the pieces whose least hash names it.
 LENGTH, GRAM = 20, 10
-#: Stretches searched for at once.
-BATCH = 1 << 16
+#: Stretches searched for at once, and bytes whose words are hashed at once.
+BATCH, SLAB = 1 << 16, 1 << 20
 
 
 class Wavelet:
@@ -104,18 +104,26 @@ class FMIndex:
         return lo, hi, matched
 
 
-def symbols(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def symbols(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of each word, bounds of the segments): equal numbers for equal words and only for these.
 
-    Hashes group the words; every word is then held against the first of its group byte by byte.
+    Hashes group the words; every word is then held against the first of its group byte by byte. The segments'
+    texts are data[cuts[i]:cuts[i + 1]]; words are found in slabs of whole segments.
     """
-    parts = [Words(part) for _, part in slabs(segments, 1 << 20)]
-    hashes = np.concatenate([w.hash for w in parts])
-    bounds = np.r_[0, np.cumsum(np.concatenate([np.diff(w.bounds) for w in parts]))]
+    hashes, start, end, counts = [], [], [], []
+    a = 0
+    while a < len(cuts) - 1:
+        b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + SLAB, "right")) - 1)
+        w = Words([data[x:y].tobytes() for x, y in zip(cuts[a:b], cuts[a + 1 : b + 1], strict=True)])
+        shift = cuts[a] - np.arange(b - a)  # the texts stand there with one byte between them
+        hashes.append(w.hash)
+        start.append((w.start + shift[w.doc]).astype(np.int32))
+        end.append((w.end + shift[w.doc]).astype(np.int32))
+        counts.append(np.diff(w.bounds))
+        a = b
+    hashes, start, end = (np.concatenate(x) for x in (hashes, start, end))
+    bounds = np.r_[0, np.cumsum(np.concatenate(counts))]
     _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
-    data = np.concatenate([w.data for w in parts])
-    shift = np.cumsum([0, *(len(w.data) for w in parts)])
-    start, end = (np.concatenate([getattr(w, x) + s for w, s in zip(parts, shift, strict=False)]) for x in ("start", "end"))
     size = end - start
     like = first[number]
     same = bool((size == size[like]).all())
@@ -129,15 +137,16 @@ def symbols(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             break
     if not same:
         seen: dict[bytes, int] = {}
-        number = np.array([seen.setdefault(x, len(seen)) for s in segments for x in s.split()])
+        raw = data.tobytes()
+        number = np.array([seen.setdefault(raw[x:y], len(seen)) for x, y in zip(start.tolist(), end.tolist(), strict=True)])
     return number, bounds
 
 
-def decide(job: Repeats, segments, ids, keys, start, size) -> np.ndarray:
+def decide(job: Repeats, data, cuts, ids, keys, start, size) -> np.ndarray:
     """Streams the segments through an index of them all; True at stretches that start earlier somewhere."""
-    symbol, bounds = symbols(segments)
-    text = np.zeros(len(symbol) + len(segments), np.int64)
-    text[np.arange(len(symbol)) + np.repeat(np.arange(len(segments)), np.diff(bounds))] = symbol + 1
+    symbol, bounds = symbols(data, cuts)
+    text = np.zeros(len(symbol) + len(size), np.int64)
+    text[np.arange(len(symbol)) + np.repeat(np.arange(len(size)), np.diff(bounds))] = symbol + 1
     index = FMIndex(text, job.length)
     of = np.repeat(np.arange(len(size)), size)
     at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)

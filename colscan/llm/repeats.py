@@ -44,23 +44,25 @@ SLAB, LONGEST = 1 << 19, 50_000
 HOT, HOT_MOST = 1024, 1 << 20
 #: Targets that a row is packed for directly, and bytes (packed) that a task splits at a time beyond that.
 FAN, SPLIT_BYTES = 4096, 32 << 20
-#: Bytes of text for each task of a step, from which a step has more tasks than the session's shuffle partitions.
-TASK_BYTES = 64 << 20
+#: Bytes of text for each task of a step where there are more shards than the session has shuffle partitions.
+TASK_BYTES = 256 << 20
 #: Bits of a piece's hash that are left out where runs are sent: 48 remain, and a chance agreement only sends a run to the index.
 DROPPED = np.uint64(16)
+#: Compression level of rows that hold texts of segments, most of what is moved.
+TEXT_LEVEL = 3
 NO_ID = (1 << 63) - 1
 ROW = "kind int, part long, blob binary"
 #: Kinds of rows: runs for a bucket, runs or stretches for their documents, hashes known to be repeated, hot hashes.
 RUNS, OWN, SURE, HOTTEST = 0, 1, 2, 3
 
 
-def pack(*arrays: np.ndarray | bytes) -> bytes:
+def pack(*arrays: np.ndarray | bytes, level: int = 1) -> bytes:
     """Arrays as one blob: byte planes, compressed."""
     out = []
     for a in arrays:
         a = np.frombuffer(a, np.uint8) if isinstance(a, bytes) else np.ascontiguousarray(a)
         out += [np.array([ord(a.dtype.kind), a.dtype.itemsize, len(a)], np.int64).tobytes(), a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() if len(a) else b""]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(out))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -113,11 +115,13 @@ class Repeats:
     """The pipeline of the module for one kind of unit; made on the driver, used in tasks."""
 
     def __init__(self, length: int, gram: int, words: bool, within: bool, decide: Callable, shard_bytes: int = SHARD_BYTES):
-        """within: an earlier start in the same document counts too. decide(segments, ids, keys, starts, counts):
-        for each segment's ``counts`` stretches, one after the other, whether an equal one starts earlier."""
+        """within: an earlier start in the same document counts too. decide(job, data, bounds, ids, keys, starts, counts):
+        for each segment's ``counts`` stretches, one after the other, whether an equal one starts earlier; the segments'
+        texts are data[bounds[i]:bounds[i + 1]]."""
         self.length, self.gram, self.words, self.within, self.decide, self.shard_bytes = length, gram, words, within, decide, shard_bytes
         self.group_bytes, self.fan, self.many, self.split_bytes = GROUP_BYTES, FAN, HOT, SPLIT_BYTES
-        self.shards, self.bundled, self.hot = 1, False, None
+        self.shards = self.tasks = self.partitions = 1
+        self.bundled, self.hot = False, None
 
     def units(self, texts: list[bytes]):
         return Words(texts) if self.words else Bytes(texts)
@@ -193,13 +197,23 @@ class Repeats:
                     held, size = {}, 0
         yield from out()
 
-    def dealt(self, df: DataFrame, tasks: int, ragged: bool = False) -> DataFrame:
-        """The rows, where need be split into one for each target, and in as many partitions as the data needs."""
-        if self.bundled:
-            spread = max(1, tasks // self.fan)
-            bundles = df.repartition(max(tasks, self.fan), "kind", "part", F.pmod(F.xxhash64("blob"), F.lit(spread)))
-            df = bundles.mapInArrow(lambda b: self.split(b, ragged), ROW)
-        return df.repartition(tasks, "part") if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    def single(self, df: DataFrame, ragged: bool = False) -> DataFrame:
+        """Bundles split into one row for each target."""
+        if not self.bundled:
+            return df
+        spread = F.pmod(F.xxhash64("blob"), F.lit(max(1, self.tasks // self.fan)))
+        return df.repartition(max(self.tasks, self.fan), "kind", "part", spread).mapInArrow(lambda b: self.split(b, ragged), ROW)
+
+    def by_shard(self, df: DataFrame, ragged: bool = False):
+        """The rows grouped by target, each shard in the partition of its number; what goes to documents is spread by hash."""
+        own = F.col("kind") == OWN
+        place = F.when(own, F.pmod(F.xxhash64("part"), F.lit(self.tasks))).otherwise(F.pmod("part", F.lit(self.tasks))).cast("int")
+        rows_ = self.single(df, ragged).withColumns({"own": own, "place": place})
+        return rows_.repartitionById(self.tasks, F.col("place")).groupBy("own", "part", "place")
+
+    def by_group(self, df: DataFrame):
+        """The rows grouped by group of documents."""
+        return (df.repartition(self.tasks, "part") if self.tasks > self.partitions else df).groupBy("part")
 
     def known(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Which entries have a hash that another document (or, ``within``, another place) has too."""
@@ -247,38 +261,38 @@ class Repeats:
         """Step 1, by group. RUNS and SURE: for a bucket; OWN: runs known to be repeated, for their group."""
         for b in sliced(batches, 1):
             number, blob = b.column("part")[0].as_py(), b.column("blob")[0].as_py()
-            ids, keys, texts = self.opened(blob)
+            ids, _, texts = self.opened(blob)
             h, doc, start, size, whole = self.runs(texts)
-            ids, keys = ids[doc], keys[doc]
-            again = self.known(h, ids)
+            again = self.known(h, ids[doc])
             fine = (tags(h) % np.uint32(self.shards)).astype(np.uint32)
             one = ~again
-            out = [(RUNS, p, pack(*x)) for p, x in self.target(fine[one], h[one], ids[one], keys[one], np.full(int(one.sum()), number), start[one], size[one])]
+            out = [(RUNS, p, pack(*x)) for p, x in self.target(fine[one], h[one], np.full(int(one.sum()), number), doc[one], start[one], size[one])]
             # how many different texts a hash has here, told apart by 16 bits
             pairs = np.unique(h[again] << DROPPED | (whole[again] & 0xFFFF))
             sure, different = np.unique(pairs >> DROPPED, return_counts=True)
-            out += [(SURE, p, pack(*x)) for p, x in self.target((tags(sure) % np.uint32(self.shards)).astype(np.uint32), sure, different)]
-            out += self.to_documents(h[again], ids[again], keys[again], np.full(int(again.sum()), number), start[again], size[again])
+            out += [(SURE, p, pack(*x)) for p, x in self.target((tags(sure) % np.uint32(self.shards)).astype(np.uint32), sure, different.astype(np.uint32))]
+            out += self.to_documents(h[again], np.full(int(again.sum()), number), doc[again], start[again], size[again])
             yield rows(out)
 
-    def to_documents(self, h, ids, keys, group, start, size) -> list:
-        return [(OWN, p, pack(*x)) for p, x in self.target(group, tags(h), ids, keys, start, size)]
+    def to_documents(self, h, group, doc, start, size) -> list:
+        return [(OWN, p, pack(*x)) for p, x in self.target(group, tags(h), doc, start, size)]
 
     def match(self, key, t: pa.Table) -> pa.Table:
         """Step 1, by bucket: the runs whose hash is repeated, and the hot hashes. Runs known to be repeated pass through."""
-        if key[0].as_py() == OWN:
+        if key[0].as_py():
             return t
         kinds, blobs = t.column("kind").to_pylist(), t.column("blob").to_pylist()
         single = [b for k, b in zip(kinds, blobs, strict=True) if k == RUNS]
         known = [b for k, b in zip(kinds, blobs, strict=True) if k == SURE]
-        _, sure, different = merged(known) if known else (None, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        _, sure, different = merged(known) if known else (None, np.zeros(0, np.uint64), np.zeros(0, np.uint32))
         out = []
         h = np.zeros(0, np.uint64)
         if single:
-            _, h, ids, keys, group, start, size = merged(single)
-            again = self.known(h, ids) | np.isin(h, sure)
+            _, h, group, doc, start, size = merged(single)
+            # documents by group and place; two rows of one document count as two here, and the index decides
+            again = self.known(h, (mix(group.view(np.uint64)) + doc).view(np.int64)) | np.isin(h, sure)
             h = h[again]
-            out = self.to_documents(h, *(x[again] for x in (ids, keys, group, start, size)))
+            out = self.to_documents(h, *(x[again] for x in (group, doc, start, size)))
         names, at = np.unique(np.concatenate((sure, h)), return_inverse=True)
         total = np.bincount(at, np.concatenate((different, np.ones(len(h)))), len(names))
         many = total >= self.many
@@ -301,12 +315,12 @@ class Repeats:
         if not found.num_rows or not docs.num_rows:
             return pa.Table.from_batches([rows([])])
         number = key[0].as_py()
-        _, tag, ids, keys, start, size = merged(found.column("blob").to_pylist())
-        order = np.lexsort((start, keys, ids))
-        tag, ids, keys, start, size = (x[order] for x in (tag, ids, keys, start.astype(np.int64), size.astype(np.int64)))
-        hot = np.isin(tag, self.hot.value).tolist()
         own_ids, own_keys, texts = self.opened(docs.column("blob")[0].as_py())
-        text = dict(zip(zip(own_ids.tolist(), own_keys.tolist(), strict=True), texts, strict=True))
+        _, tag, doc, start, size = merged(found.column("blob").to_pylist())
+        order = np.lexsort((start, own_keys[doc], own_ids[doc]))
+        tag, doc, start, size = tag[order], doc[order], start[order].astype(np.int64), size[order].astype(np.int64)
+        ids, keys = own_ids[doc], own_keys[doc]
+        hot = np.isin(tag, self.hot.value).tolist()
         cut = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])
         runs: dict[bytes, tuple[int, int, int]] = {}
         single: dict[bytes, tuple[int, int, int]] = {}
@@ -327,7 +341,7 @@ class Repeats:
 
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)], strict=True):
             me = (int(ids[a]), int(keys[a]))
-            data = text[me]
+            data = texts[doc[a]]
             u = self.units([data])
             begin, end = u.start[start[a:b]].tolist(), u.end[start[a:b] + size[a:b] + self.length - 2].tolist()
             for n, (x, y) in enumerate(zip(begin, end, strict=True), a):
@@ -349,41 +363,43 @@ class Repeats:
             n, at, count, named = map(np.array, zip(*sent, strict=True))
             fine = (named.astype(np.uint32) % np.uint32(self.shards)).astype(np.uint32)
             lengths = np.array([len(s) for s in segments], dtype=np.uint32)
-            for p, (f, i, x, y, s, c, m) in self.target(fine, np.arange(len(n)), ids[n], keys[n], at.astype(np.uint32), count.astype(np.uint16), lengths):
-                out.append((RUNS, p, pack(f, x, y, np.full(len(x), number), s, c, m, b"".join(segments[j] for j in i))))
+            for p, (f, i, x, y, d, s, c, m) in self.target(fine, np.arange(len(n)), ids[n], keys[n], doc[n], at.astype(np.uint32), count.astype(np.uint16), lengths):
+                out.append((RUNS, p, pack(f, x, y, np.full(len(x), number), d, s, c, m, b"".join(segments[j] for j in i), level=TEXT_LEVEL)))
         if done:
             n, at, count = map(np.array, zip(*done, strict=True))
-            out += [(OWN, p, pack(*x)) for p, x in self.target(np.full(len(n), number), ids[n], keys[n], at.astype(np.uint32), count.astype(np.uint32))]
+            out += [(OWN, p, pack(*x)) for p, x in self.target(np.full(len(n), number), doc[n], at.astype(np.uint32), count.astype(np.uint32))]
         return pa.Table.from_batches([rows(out)])
 
     def index(self, key, t: pa.Table) -> pa.Table:
         """Step 3: the shard's verdict, as ranges of stretches for each group."""
-        if key[0].as_py() == OWN:
+        if key[0].as_py():
             return t
-        _, ids, keys, group, start, size, lengths, data = merged(t.column("blob").to_pylist())
-        ends, data = np.cumsum(lengths.astype(np.int64)), data.tobytes()
-        segments = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        _, ids, keys, group, doc, start, size, lengths, data = merged(t.column("blob").to_pylist())
+        del t
         size = size.astype(np.int64)
-        bad = self.decide(self, segments, ids, keys, start.astype(np.int64), size)
-        of = np.repeat(np.arange(len(size)), size)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-        edge = np.flatnonzero(bad & np.r_[True, ~bad[:-1] | (of[1:] != of[:-1])])
-        stop = np.flatnonzero(bad & np.r_[~bad[1:] | (of[1:] != of[:-1]), True])
-        who = of[edge]
-        ranges = (ids[who], keys[who], (start[who] + at[edge]).astype(np.uint32), (stop - edge + 1).astype(np.uint32))
+        bad = self.decide(self, data, np.r_[0, np.cumsum(lengths.astype(np.int64))], ids, keys, start.astype(np.int64), size)
+        # Flags of a byte for each stretch are all that is held here: where a segment begins, and where a range does.
+        begin = np.cumsum(size) - size
+        head = np.zeros(len(bad) + 1, bool)
+        head[begin] = head[-1] = True
+        edge = np.flatnonzero(bad & (head[:-1] | np.r_[True, ~bad[:-1]]))
+        stop = np.flatnonzero(bad & (head[1:] | np.r_[~bad[1:], True]))
+        who = np.searchsorted(begin, edge, "right") - 1
+        ranges = (doc[who], (start[who] + edge - begin[who]).astype(np.uint32), (stop - edge + 1).astype(np.uint32))
         return pa.Table.from_batches([rows([(OWN, p, pack(*x)) for p, x in self.target(group[who], *ranges)])])
 
     def rebuild(self, key, docs: pa.Table, found: pa.Table) -> pa.Table:
         """Step 4: (doc_id, n, n_removed, n_spans, kept_sha256, kept) of each document of a group."""
         out = []
+        ids, keys, texts = self.opened(docs.column("blob")[0].as_py()) if docs.num_rows else (np.zeros(0, int),) * 2 + ([],)
         gone: dict[tuple[int, int], list] = {}
         if found.num_rows:
-            _, ids, keys, start, size = merged(found.column("blob").to_pylist())
-            order = np.lexsort((keys, ids))
-            ids, keys, start, size = (x[order] for x in (ids, keys, start.astype(np.int64), size.astype(np.int64)))
-            cut = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]).tolist()
-            gone = {(int(ids[a]), int(keys[a])): [start[a:b], start[a:b] + size[a:b] + self.length - 1] for a, b in zip(cut, [*cut[1:], len(ids)], strict=True)}
-        ids, keys, texts = self.opened(docs.column("blob")[0].as_py()) if docs.num_rows else ((), (), ())
+            _, doc, start, size = merged(found.column("blob").to_pylist())
+            i, k, start, size = ids[doc], keys[doc], start.astype(np.int64), size.astype(np.int64)
+            order = np.lexsort((k, i))
+            i, k, start, size = (x[order] for x in (i, k, start, size))
+            cut = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (k[1:] != k[:-1])]).tolist()
+            gone = {(int(i[a]), int(k[a])): [start[a:b], start[a:b] + size[a:b] + self.length - 1] for a, b in zip(cut, [*cut[1:], len(i)], strict=True)}
         for i, k, text in zip(map(int, ids), map(int, keys), texts, strict=True):
             units = text.split() if self.words else text
             n, removed, parts, kept = len(units), 0, 0, text
@@ -406,18 +422,16 @@ class Repeats:
         slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
         packed, find, match, extract, index, rebuild = (getattr(self, n) for n in ("packed", "find", "match", "extract", "index", "rebuild"))
         groups = staged(slim.mapInArrow(lambda b: packed(b), ROW))
-        total, n_groups = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0, groups.count()
+        total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        self.partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.shards = max(1, -(-total // self.shard_bytes))
-        self.bundled = max(self.shards, n_groups) > self.fan
-        tasks = max(1, -(-total // TASK_BYTES))
-        side = F.when(F.col("kind") == OWN, OWN).otherwise(RUNS)
-        found = self.dealt(groups.mapInArrow(lambda b: find(b), ROW), tasks)
-        runs = staged(found.groupBy(side.alias("side"), "part").applyInArrow(lambda k, t: match(k, t.select(["kind", "part", "blob"])), ROW))
+        self.tasks = max(min(self.shards, self.partitions), -(-total // TASK_BYTES))
+        self.bundled = max(self.shards, groups.count()) > self.fan
+        runs = staged(self.by_shard(groups.mapInArrow(lambda b: find(b), ROW)).applyInArrow(lambda k, t: match(k, t.select(["kind", "part", "blob"])), ROW))
         hot = runs.where(f"kind = {HOTTEST}").mapInArrow(self.hottest, "tag long, n long").groupBy("tag").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "tag").limit(HOT_MOST)
         self.hot = spark.sparkContext.broadcast(np.sort(hot.toArrow().column("tag").to_numpy().astype(np.uint32)))
-        runs = self.dealt(runs.where(f"kind = {OWN}"), tasks)
-        pieces = groups.groupBy("part").cogroup(runs.groupBy("part")).applyInArrow(lambda k, d, r: extract(k, d, r), ROW)
-        verdicts = self.dealt(pieces, tasks, ragged=True).groupBy("kind", "part").applyInArrow(lambda k, t: index(k, t), ROW)
-        verdicts = self.dealt(verdicts, tasks)
+        runs = self.by_group(self.single(runs.where(f"kind = {OWN}")))
+        pieces = self.by_group(groups).cogroup(runs).applyInArrow(lambda k, d, r: extract(k, d, r), ROW)
+        verdicts = self.by_shard(pieces, ragged=True).applyInArrow(lambda k, t: index(k, t.select(["kind", "part", "blob"])), ROW)
         result = "doc_id long, n long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-        return groups.groupBy("part").cogroup(verdicts.groupBy("part")).applyInArrow(lambda k, d, r: rebuild(k, d, r), result)
+        return self.by_group(groups).cogroup(self.by_group(self.single(verdicts))).applyInArrow(lambda k, d, r: rebuild(k, d, r), result)

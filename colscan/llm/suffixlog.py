@@ -12,17 +12,14 @@ from .repeats import Repeats
 LENGTH, GRAM = 50, 24
 #: Suffixes of a batch.
 BATCH = 1 << 16
-#: Bytes of text for each shard; each group of documents sends a packed row to each shard, so few are better.
+#: Bytes of text for each shard; each group of documents sends a packed row to each shard, so few are better. An array
+#: keeps its places in 32 bits, so a shard's segments have less than 2 GB.
 SHARD_BYTES = 16 << 20
 
 
 def eights(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on as one number, in byte order; zeros follow the last byte."""
-    w = np.zeros(len(data) + 7, np.uint64)
-    w[: len(data)] = data
-    for n in (1, 2, 4):
-        w[: len(w) - n] = w[: len(w) - n] << np.uint64(8 * n) | w[n:]
-    return w
+    """The eight bytes from each place on as one number, in byte order: a view of the bytes, which are not copied."""
+    return np.ndarray(max(0, len(data) - 7), ">u8", data, 0, (1,))
 
 
 class Family:
@@ -36,12 +33,12 @@ class Family:
     def __init__(self, data: np.ndarray, length: int):
         self.length, self.levels = length, []
         words = -(-length // 8)
-        self.eights = eights(np.r_[data, np.zeros(8 * words, np.uint8)])
+        self.eights = eights(np.concatenate((data, np.zeros(8 * words + 8, np.uint8))))
         self.steps = range(0, 8 * words, 8)
         self.rest = np.uint64(8 * (8 * words - length))
 
     def word(self, places: np.ndarray, step: int) -> np.ndarray:
-        w = self.eights[places + step]
+        w = self.eights[places + step].astype(np.uint64)
         return w >> self.rest << self.rest if step == self.steps[-1] else w
 
     def compare(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -75,7 +72,7 @@ class Family:
         """True at places whose suffix a document of smaller id has, in this batch or an earlier one."""
         order = np.lexsort([self.word(places, s) for s in reversed(self.steps)])
         s, i = places[order], ids[order]
-        head = self.eights[s] if len(self.steps) > 1 else self.word(s, 0)
+        head = self.word(s, 0)
         differ = np.r_[True, head[1:] != head[:-1]]
         near = np.flatnonzero(~differ)
         differ[near] = self.compare(s[near], s[near - 1]) != 0
@@ -91,7 +88,7 @@ class Family:
         out = np.empty(len(order), bool)
         out[order] = i > np.repeat(least, size)
         if new.any():
-            self.levels.append((head[new], s[new], least[new]))
+            self.levels.append((head[new], s[new].astype(np.int32), least[new]))
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             small, large = self.levels.pop(), self.levels.pop()
             at, _ = self.scan(small[0], small[1], large)  # the arrays have no suffix in common
@@ -99,10 +96,8 @@ class Family:
         return out
 
 
-def decide(job: Repeats, segments, ids, keys, start, size) -> np.ndarray:
+def decide(job: Repeats, data, bounds, ids, keys, start, size) -> np.ndarray:
     """Batches the segments by id and runs them through the family; True at stretches of smaller ids."""
-    data = np.frombuffer(b"".join(segments), np.uint8)
-    begin = np.cumsum([0, *map(len, segments)])[:-1]
     base = np.cumsum(size) - size
     order = np.argsort(ids, kind="stable")
     family = Family(data, job.length)
@@ -114,7 +109,7 @@ def decide(job: Repeats, segments, ids, keys, start, size) -> np.ndarray:
         own = order[a:b]
         n = size[own]
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(base[own], n) + step] = family.add(np.repeat(begin[own], n) + step, np.repeat(ids[own], n))
+        out[np.repeat(base[own], n) + step] = family.add(np.repeat(bounds[own], n) + step, np.repeat(ids[own], n))
         a = b
     return out
 

@@ -96,9 +96,9 @@ def test_a_short_phrase_in_every_document_is_spread(spark, monkeypatch):
         job = repeats.Repeats(length, gram, words_, within, decide, 4000)
         loads = spark.sparkContext.accumulator(0)
 
-        def counted(j, segments, *rest, decide=decide, loads=loads):
-            loads.add(max(0, sum(map(len, segments)) - 60_000))
-            return decide(j, segments, *rest)
+        def counted(j, data, *rest, decide=decide, loads=loads):
+            loads.add(max(0, len(data) - 60_000))
+            return decide(j, data, *rest)
 
         job.decide = counted
         rows = spark.createDataFrame([(d, t, 1, "b") for d, t in docs.items()], SCHEMA)
@@ -128,7 +128,7 @@ def test_words_are_compared_by_their_bytes(spark, monkeypatch):
     want = [x for s in segments for x in s.split()]
     for kind in (real, Weak):
         monkeypatch.setattr(fmindex, "Words", kind)
-        number, bounds = fmindex.symbols(segments)
+        number, bounds = fmindex.symbols(np.frombuffer(b"".join(segments), np.uint8), np.cumsum([0, *map(len, segments)]))
         assert bounds.tolist() == [0, 3, 6, 8]
         assert all((number[i] == number[j]) == (want[i] == want[j]) for i in range(8) for j in range(8))
 
