@@ -9,7 +9,9 @@ before. For a partition of up to u shingles, every document is seen as overlappi
 shingles, u/2 apart, so a copied item lies whole in one window and the Jaccard similarity of item and window
 is bounded from below (0.25 in the worst case, a containment of 0.8 of the smallest item of its partition).
 A window and an item that share one of ``PERMUTATIONS`` minima are a candidate: at that worst case one pair in
-ten thousand is missed. Candidates are verified by exact containment over the whole document.
+ten thousand is missed. Candidates are verified by exact containment over the whole document, on the words themselves.
+
+``smallest=None`` looks up every item like the small ones: a dearer search that misses nothing.
 """
 
 from __future__ import annotations
@@ -55,7 +57,6 @@ def short(w: Words, i: int) -> np.ndarray:
     return spans(w.hash, a, b) if b > a else w.hash[:0]
 
 
-
 class Exact:
     """Hashes and the items that have them."""
 
@@ -78,31 +79,50 @@ class Exact:
 class Items:
     """Signatures of a bounded block of test items, by size partition."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
-        w = Words([t.lower() for t in encoded(texts)])
+    def __init__(self, ids: list[int], texts: list[str | None], smallest: int | None = SMALLEST):
+        raw = [t.lower() for t in encoded(texts)]
+        self.words = [t.split() for t in raw]
+        w = Words(raw)
         self.sets = dict(enumerate(_shingles(w, len(texts))))
         self.ids = ids
         n_words = np.diff(w.bounds)
         #: number of words -> items of so many, under ``WIDTH``
         self.short = {k: Exact([(self.sets[i][0], i) for i in np.flatnonzero(n_words == k).tolist()]) for k in range(1, WIDTH) if (n_words == k).any()}
-        small = [i for i, s in self.sets.items() if n_words[i] >= WIDTH and len(s) <= SMALLEST]
+        small = [i for i, s in self.sets.items() if n_words[i] >= WIDTH and (smallest is None or len(s) <= smallest)]
         #: items of up to ``SMALLEST`` shingles, under as many of their shingles as a document cannot miss all of
         self.small = Exact([(h, i) for i in small for h in self.sets[i][: len(self.sets[i]) - int(np.ceil(THRESHOLD * len(self.sets[i]) - 1e-9)) + 1].tolist()])
         levels: dict[int, list[int]] = {}
         for i, s in self.sets.items():
-            if len(s) > SMALLEST:
+            if smallest is not None and len(s) > smallest:
                 levels.setdefault(max(0, int(np.ceil(np.log2(len(s) / SMALLEST)))), []).append(i)
-        #: level -> for each permutation (sorted minima, the items that have them, a bitmap of their low bits)
+        #: level -> for each permutation (sorted minima, the items that have them)
         self.levels = {}
         for level, own in levels.items():
             tables = []
             for mul, add in zip(_MUL, _ADD, strict=True):
                 low = np.array([(self.sets[i] * mul + add).min() for i in own], dtype=np.uint64)
                 order = np.argsort(low)
-                seen = np.zeros(1 << 18, dtype=bool)
-                seen[low & np.uint64((1 << 18) - 1)] = True
-                tables.append((low[order], np.array(own)[order], seen))
+                tables.append((low[order], np.array(own)[order]))
             self.levels[level] = tables
+        self.bits: dict = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"bits": {}}  # bitmaps are large and soon made again
+
+    def seen(self, level: int, n: int) -> np.ndarray:
+        """A bitmap of the low bits of a table's minima."""
+        if (level, n) not in self.bits:
+            self.bits[level, n] = bits = np.zeros(1 << 18, dtype=bool)
+            bits[self.levels[level][n][0] & np.uint64((1 << 18) - 1)] = True
+        return self.bits[level, n]
+
+    def containment(self, item: int, words: list[bytes]) -> float:
+        """How much of an item's shingles a document has, by the words themselves; 0 or 1 for an item of one shingle."""
+        mine = self.words[item]
+        width = min(WIDTH, len(mine))
+        grams = lambda x: {tuple(x[i : i + width]) for i in range(len(x) - width + 1)}
+        own = grams(mine)
+        return len(own & grams(words)) / len(own)
 
     def found(self, texts: list[str | None]) -> Iterator[tuple[int, int, float]]:
         """(text index, item id, containment) for all texts."""
@@ -117,7 +137,8 @@ class Items:
         for k, items in self.short.items():
             runs, first = w.grams(k)
             whole += items.pairs(runs, w.doc[first])
-        yield from ((i, j, 1.0) for i, j in sorted(set(whole)))
+        sure = lambda i, j: self.containment(j, texts[i].split())
+        yield from ((i, j, 1.0) for i, j in sorted(set(whole)) if sure(i, j) == 1)
         if not len(gram):
             return
         begins = np.searchsorted(doc, np.arange(len(texts) + 1))
@@ -137,55 +158,57 @@ class Items:
                 for d in (1, 2):
                     same = np.flatnonzero(block_doc[:-d] == block_doc[d:])
                     window[same] = np.minimum(window[same], low[same + d])
-                minima, items, seen = self.levels[level][n]
-                hit = np.flatnonzero(seen[window & np.uint64((1 << 18) - 1)])
+                minima, items = self.levels[level][n]
+                hit = np.flatnonzero(self.seen(level, n)[window & np.uint64((1 << 18) - 1)])
                 left, right = np.searchsorted(minima, window[hit], "left"), np.searchsorted(minima, window[hit], "right")
                 for h, a, b in zip(hit[left < right], left[left < right], right[left < right], strict=True):
                     pairs.update((int(block_doc[h]), int(i)) for i in items[a:b])
         for i, j in sorted(pairs):
-            c = float(np.isin(self.sets[j], gram[begins[i] : begins[i + 1]]).mean())
-            if c >= THRESHOLD:
+            # equal words have equal hashes, so what the hashes rule out is out; the rest is counted exactly
+            if np.isin(self.sets[j], gram[begins[i] : begins[i + 1]]).mean() >= THRESHOLD and (c := sure(i, j)) >= THRESHOLD:
                 yield i, j, c
 
 
-def blocks(bench: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Items]:
-    """The test items in blocks of about ``ITEMS``; items without a word are left out."""
+def blocks(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", smallest: int | None = SMALLEST) -> Iterator[Items]:
+    """The test items in blocks of about ``ITEMS``; items without a word match nothing."""
     n = -(-bench.count() // ITEMS)
     rows = bench.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     for k in range(n):
         own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect() if n > 1 else rows.collect()
-        yield Items([r.id for r in own], [r.text for r in own])
+        yield Items([r.id for r in own], [r.text for r in own], smallest)
 
 
-def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", smallest: int | None = SMALLEST) -> DataFrame:
     """(doc_id, item_id, containment) for each document that holds at least ``THRESHOLD`` of an item's shingles.
 
     Case of A-Z and the kind of white space do not matter. Null and blank texts match nothing. An item of one to
     four words is one shingle and matches a document with this run of words. Repeated rows report each for itself;
-    an empty table on either side gives no rows.
+    null ids are reported as null; texts of any length are taken whole; other columns, of whatever names, are not read. An
+    empty table on either side gives no rows.
     """
+    spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for items in blocks(bench, item_col):
+    for items in blocks(bench, item_col, smallest=smallest):
 
-        def run(batches, items=items):
+        def run(batches, items=spark.sparkContext.broadcast(items)):
             for b in sliced(batches):
-                ids, rows = b.column(0), list(items.found(b.column(1).to_pylist()))
+                ids, rows = b.column(0), list(items.value.found(b.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["doc_id", "item_id", "containment"])
 
         found = slim.mapInArrow(run, "doc_id long, item_id long, containment double")
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, containment double")
+    return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, containment double")
 
 
-def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no test item, all columns unchanged, without a shuffle."""
-    for items in blocks(bench):
+def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", smallest: int | None = SMALLEST) -> DataFrame:
+    """The rows of ``docs`` that hold no test item, all columns unchanged and of any names, without a shuffle."""
+    for items in blocks(bench, smallest=smallest):
 
-        def run(batches, items=items, at=docs.columns.index(text_col)):
+        def run(batches, items=docs.sparkSession.sparkContext.broadcast(items), at=docs.columns.index(text_col)):
             for b in sliced(batches):
                 keep = np.ones(b.num_rows, dtype=bool)
-                keep[[i for i, _, _ in items.found(b.column(at).to_pylist())]] = False
+                keep[[i for i, _, _ in items.value.found(b.column(at).to_pylist())]] = False
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
