@@ -16,6 +16,11 @@ from .common import staged
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Longest context in bytes.
 ORDER = 5
+#: A context of ``RARE`` bytes or more counts from its second occurrence in a class on; before, the model backs off. This
+#: leaves out the long contexts of one url alone, which are most of a model's size and speak for no other url.
+RARE, TWICE = 3, 2
+#: One in so many urls that rules judge is kept from the models, and the cut is calibrated on these.
+FOLDS = 5
 #: Bins of the score differences of rule-judged urls, over [-SPAN, SPAN].
 BINS, SPAN = 2000, 4.0
 
@@ -94,7 +99,8 @@ class Ratio:
 
 
 def counted(judged: DataFrame, url_col: str) -> Ratio:
-    """The counts over all urls that a rule has judged: of each distinct context and byte, so the model grows with their number."""
+    """The counts over all given urls, which rules have judged: of each context (see ``RARE``) and byte, so that the model grows
+    with their number. Contexts are literal bytes, never merged."""
 
     def run(batches):
         for b in batches:
@@ -106,6 +112,9 @@ def counted(judged: DataFrame, url_col: str) -> Ratio:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), c), pa.int32()), pa.array(joint), pa.array(n)], names=["c", "joint", "n"])
 
     rows = judged.select(F.col(url_col).cast("string"), "by_rule").mapInArrow(run, "c int, joint long, n long").groupBy("c", "joint").agg(F.sum("n").alias("n"))
+    context = F.shiftright("joint", 8)
+    often = rows.where(context >= RARE << 40).groupBy("c", context.alias("context")).agg(F.sum("n").alias("all")).where(F.col("all") >= TWICE).select("c", "context")
+    rows = rows.where(context < RARE << 40).unionByName(rows.withColumn("context", context).join(often, ["c", "context"], "left_semi").drop("context"))
     t = rows.toArrow()
     c, joint, n = (t.column(x).to_numpy() for x in ("c", "joint", "n"))
     model = Ratio([], [])
@@ -121,14 +130,16 @@ def counted(judged: DataFrame, url_col: str) -> Ratio:
 def filtered(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row.
 
-    A rule's verdict stands. Urls that no rule fits are judged by the models, which learn from all urls that rules
-    have judged; the cut is where balanced accuracy on those is best. Without urls of both verdicts everything else is
-    allowed. Null urls and urls without ``://`` have empty host and path and are judged by the models too. Empty
+    A rule's verdict stands. Urls that no rule fits are judged by the models, which learn from the urls that rules have
+    judged but for every ``FOLDS``th of them (by hash of the url, so equal urls go together); on those the cut is where
+    balanced accuracy is best. Where they lack a verdict the cut is taken on all judged urls. Without urls of both
+    verdicts everything else is allowed. Null urls and urls without ``://`` have empty host and path and are judged by the
+    models too. Urls of any length are taken whole, repeated rows each have the verdict, other columns are not read. Empty
     tables give no rows.
     """
     rows = with_rules(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")), "url", rules)
-    judged = rows.where("by_rule is not null")
-    model = counted(judged, "url")
+    held = F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0
+    model = counted(rows.where(F.col("by_rule").isNotNull() & ~held), "url")
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
@@ -138,13 +149,13 @@ def filtered(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
 
     out = staged(rows.mapInArrow(score, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, host string, path string, rule string, by_rule string, score double"))
     place = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("score") / (2 * SPAN) + 0.5) * BINS))).cast("int")
-    tally = np.zeros((2, BINS))
-    for r in out.where("by_rule is not null").groupBy(place.alias("bin"), "by_rule").count().collect():
-        tally[int(r.by_rule == "allow"), r.bin] += r["count"]
+    tally = np.zeros((2, 2, BINS))  # held out or not, verdict, bin
+    for r in out.where("by_rule is not null").groupBy(held.alias("held"), place.alias("bin"), "by_rule").count().collect():
+        tally[int(r.held), int(r.by_rule == "allow"), r.bin] += r["count"]
+    tally = tally[1] if tally[1].sum(axis=1).all() else tally.sum(axis=0)
+    cut = -np.inf
     if tally.sum(axis=1).all():
         above = lambda t: (np.cumsum(t[::-1]) / t.sum())[::-1]
         cut = (int(np.argmax(above(tally[1]) - above(tally[0]))) / BINS - 0.5) * 2 * SPAN
-    else:
-        cut = -np.inf
     by_model = F.when(F.col("score") >= float(cut), "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_model).alias("verdict"), F.round("score", 6).alias("score"))
