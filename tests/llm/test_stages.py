@@ -4,6 +4,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from colscan.llm import decontaminate, mixing, ordinal, sharding
@@ -59,9 +60,49 @@ def test_decontaminate_partial_passages_in_long_documents(spark, monkeypatch):
     assert got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_scattered_pieces(spark):
+    """Items cut into 3 to 30 pieces all over long documents: the search finds them, and the exact mode is sure to."""
+    r = random.Random(9)
+    vocab = [f"w{i}" for i in range(20_000)]
+    items, docs = [], []
+    for i in range(40):
+        item = r.choices(vocab, k=r.randint(120, 400))
+        items.append((i, " ".join(item)))
+        n = r.choice((3, 10, 30))
+        cuts = sorted(r.sample(range(1, len(item)), n - 1))
+        body = []
+        for a, b in zip([0, *cuts], [*cuts, len(item)], strict=True):
+            # pieces overlap by four words, so that they have all of the item's shingles
+            body += r.choices(vocab, k=r.randint(50, 400)) + item[max(0, a - 4) : b]
+        docs.append((i, " ".join(body)))
+    want = brute_leaks(docs, items)
+    assert len(want) == 40
+    rows, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(rows, bench, smallest=None).collect()} == want
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(rows, bench).collect()}
+    assert got <= want and len(got) >= 36
+
+
+def test_containment_is_decided_on_words(monkeypatch):
+    """Under a hash of two values nearly everything is a candidate, and no more than before is found."""
+    real = decontaminate.Words
+
+    class Weak(real):
+        def __init__(self, texts):
+            super().__init__(texts)
+            self.hash = self.hash & np.uint64(1)
+
+    items, docs = ["a b c d e f g", "x y", "q r s t u"], ["a b c d e f h", "z x y z", "x z y", "q r s t u v", "b a c d e f g"]
+    find = lambda: {(d, i, round(c, 3)) for d, i, c in decontaminate.Items([0, 1, 2], items, None).found(docs)}
+    want = find()
+    assert want == {(1, 1, 1.0), (3, 2, 1.0)}
+    monkeypatch.setattr(decontaminate, "Words", Weak)
+    assert find() <= want
+
+
 def test_decontaminate_edges(spark):
-    docs, items = spark.createDataFrame(ODD, SCHEMA), spark.createDataFrame([(7, "A b  c\nd e"), (8, None), (9, ""), (10, "ONE two"), (11, "two one")], "item_id long, text string")
-    assert sorted((r.doc_id or 0, r.item_id) for r in decontaminate.leaks(docs, items).collect()) == [(0, 10), (1, 7), (1, 7)]
+    docs, items = spark.createDataFrame(ODD, SCHEMA), spark.createDataFrame([(7, "A b  c\nd e"), (8, None), (9, ""), (10, "ONE two"), (11, "two one"), (None, "one two")], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.item_id or 0) for r in decontaminate.leaks(docs, items).collect()) == [(0, 0), (0, 10), (1, 7), (1, 7)]
     assert decontaminate.leaks(docs.limit(0), items).count() == 0
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0
     assert decontaminate.clean(docs, items).columns == docs.columns
@@ -138,34 +179,81 @@ def test_weights():
     assert mixing.weights({})[1] == {}
 
 
-def test_plan_against_brute_force(spark, monkeypatch):
+def int_hash(n, seed=42):
+    return xxhash.xxh64_intdigest(n.to_bytes(4, "little"), seed)
+
+
+def brute_plan(docs, block_tokens, seed=1, **how):
+    """The plan's rows by plain loops: documents in order of their hash, running sums, passes and blocks."""
+    sizes = {}
+    for d, s, n in docs:
+        sizes[d, s] = sizes.get((d, s), 0) + n
+    totals = {}
+    for (_, s), n in sizes.items():
+        totals[s] = totals.get(s, 0) + n
+    _, _, passes = mixing.weights(totals, **how)
+    n_blocks = max(1, math.ceil(sum(t * passes[s] for s, t in totals.items()) / block_tokens))
+
+    def key(d, s):
+        h = int_hash(seed)
+        h = xxhash.xxh64_intdigest(d.to_bytes(8, "little", signed=True), h) if d is not None else h
+        return xxhash.xxh64_intdigest(s.encode(), h) if s is not None else h
+
+    out = []
+    for s, total in totals.items():
+        at = 0
+        for d, h in sorted(((d, key(d, t)) for d, t in sizes if t == s), key=lambda x: (x[1], x[0] is not None, x[0] or 0)):
+            full = math.floor(passes[s])
+            times = full + (at < math.floor((passes[s] - full) * total + 0.5))
+            for e in range(times):
+                share = (e * total + at) / max(1.0, passes[s] * total)
+                rank = xxhash.xxh64_intdigest(e.to_bytes(4, "little"), xxhash.xxh64_intdigest(h.to_bytes(8, "little"), int_hash(seed + 1)))
+                out.append((d, s, sizes[d, s], e, min(n_blocks - 1, math.floor(share * n_blocks)), rank - (1 << 64) if rank >> 63 else rank))
+            at += sizes[d, s]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("how", [{}, {"repeats": 5.0}, {"repeats": 1.0}, {"repeats": 50.0, "entropy": 0.9}, {"budget": 30_000}, {"budget": 2_000, "repeats": 1.5}])
+def test_plan_against_brute_force(spark, monkeypatch, how):
     monkeypatch.setattr(mixing, "BUCKET_DOCS", 8)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text")
+    docs = docs.unionByName(spark.createDataFrame([(3, "s", "a b c"), (3, "s", "d"), (None, "s", "x y"), (7, None, "u v w"), (8, "empty", None)], "doc_id long, source string, text string"))
+    rows = [(r.doc_id, r.source, len((r.text or "").encode().split())) for r in docs.collect()]
+    got = sorted((tuple(r) for r in mixing.plan(docs, block_tokens=2000, **how).collect()), key=str)
+    assert got == brute_plan(rows, 2000, **how)
+
+
+def test_many_sources(spark, monkeypatch):
+    """Sources whose totals are not broadcast have the same plan."""
+    docs = spark.createDataFrame([(i, f"s{i % 300}", "w " * (i % 300 + 1)) for i in range(900)], "doc_id long, source string, text string")
+    want = sorted(mixing.plan(docs, block_tokens=5000, entropy=5.4, repeats=9.0).collect())
+    monkeypatch.setattr(mixing, "SOURCES", 10)
+    assert sorted(mixing.plan(docs, block_tokens=5000, entropy=5.4, repeats=9.0).collect()) == want
+
+
+def test_mixed_keeps_the_order(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = mixing.plan(docs, block_tokens=2000).collect()
-    size = {r.doc_id: len(r.text.encode().split()) for r in docs.collect()}
-    source = {r.doc_id: r.source for r in docs.collect()}
-    totals = {}
-    for d, s in source.items():
-        totals[s] = totals.get(s, 0) + size[d]
-    _, weight, passes = mixing.weights(totals)
-    used, blocks = {}, {}
-    for r in got:
-        assert r.tokens == size[r.doc_id] and r.source == source[r.doc_id]
-        used[r.source] = used.get(r.source, 0) + r.tokens
-        blocks.setdefault(r.block, {}).setdefault(r.source, 0)
-    assert {r.doc_id for r in got if r.epoch == 0} == set(size)
-    assert len({(r.doc_id, r.epoch) for r in got}) == len(got)
-    longest = max(size.values())
-    for s, n in used.items():
-        assert abs(n - passes[s] * totals[s]) <= longest
-    hashed = {(r.doc_id, r.epoch): r for r in got}
-    assert all((d, e - 1) in hashed for d, e in hashed if e)
+    plan = {(r.doc_id, r.epoch): (r.block, r.rank) for r in mixing.plan(docs, block_tokens=3000).collect()}
+    out = mixing.mixed(docs, block_tokens=3000)
+    assert out.columns == [*docs.columns, "epoch", "block", "rank"]
+    rows = mixing.in_order(out, 1000, 100).collect()
+    assert {(r.doc_id, r.epoch): (r.block, r.rank) for r in rows} == plan and len(rows) == len(plan)
+    assert [(r.block, r.rank) for r in rows] == sorted(plan.values())
+
+
+@pytest.mark.parametrize("name", ["__id", "__n", "__times", "i", "s", "d", "uses", "u", "block", "a.b"])
+def test_mixing_clashing_names(spark, name):
+    docs = spark.createDataFrame([(1, "a b", "x", "keep"), (None, None, None, None)], f"doc_id long, text string, source string, `{name}` string")
+    rows = mixing.mixed(docs).collect()
+    assert {r.doc_id for r in rows} == {1, None}
+    if name != "block":
+        assert {r[name] for r in rows} == {"keep", None}
 
 
 def test_mixing_edges(spark):
     docs = spark.createDataFrame(ODD, SCHEMA)
     out = mixing.mixed(docs)
-    assert out.columns == docs.columns
+    assert out.columns == [*docs.columns, "epoch", "block", "rank"]
     got = out.collect()
     assert {r.doc_id for r in got} == {r[0] for r in ODD} and len(got) >= len(ODD)
     assert mixing.mixed(docs.limit(0)).count() == 0
