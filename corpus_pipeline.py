@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colscan.llm.common import staged, table
+from colscan.llm.common import quoted, staged, table
 from colscan.llm.decontaminate import clean
-from colscan.llm.mixing import mixed
+from colscan.llm.mixing import in_order, mixed
 from colscan.llm.ordinal import grades, select, train
 from colscan.llm.sharding import shards
 from colscan.llm.simhash import keep_one
@@ -30,8 +30,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, small sources repeated up to the limit."""
-    return mixed(docs)
+    """Every document at least once, small sources repeated up to the limit, in the mixed order of blocks and ranks.
+
+    The stage's columns are those of documents, so the order is that of the rows in the written files.
+    """
+    return in_order(mixed(docs), docs.count()).select(*[quoted(c) for c in docs.columns])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
