@@ -93,6 +93,26 @@ def screened(rows: list[np.ndarray], y: np.ndarray, n_grades: int) -> np.ndarray
     return np.flatnonzero(used)
 
 
+def objective(x: np.ndarray, at: np.ndarray, column: np.ndarray, y: np.ndarray, importance: np.ndarray, n_used: int, n_grades: int, ridge: float) -> tuple[float, np.ndarray]:
+    """(penalised negative log-likelihood, its gradient) at x = weights, first threshold, logs of the steps between thresholds.
+
+    Row ``at[i]`` has feature ``column[i]``; P(grade) is the difference of two neighbouring cumulative sigmoids.
+    """
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    cuts = np.r_[-np.inf, np.cumsum(np.r_[x[n_used], np.exp(x[n_used + 1 :])]), np.inf]
+    score = np.bincount(at, x[column], len(y))
+    hi, lo = sigmoid(cuts[y + 1] - score), sigmoid(cuts[y] - score)
+    hi, lo = np.where(y == n_grades - 1, 1, hi), np.where(y == 0, 0, lo)
+    like = np.maximum(hi - lo, 1e-12)
+    up, down = hi * (1 - hi) / like, lo * (1 - lo) / like
+    d_score = importance * (up - down)
+    d_cuts = np.bincount(y, -importance * up, n_grades)[: n_grades - 1] + np.bincount(y, importance * down, n_grades)[1:]
+    tail = np.cumsum(d_cuts[::-1])[::-1]
+    w = x[:n_used]
+    grad = np.r_[np.bincount(column, d_score[at], n_used) + ridge * w, tail[0], tail[1:] * np.exp(x[n_used + 1 :])]
+    return float(-(importance * np.log(like)).sum() + ridge / 2 * (w @ w)), grad
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray, n_grades: int = 3, rounds: int = 150, ridge: float = 2e-4) -> Model:
     """Maximum likelihood by Adam over the whole sample. Grades without a row, or no rows: flat thresholds that keep."""
     cuts0 = np.linspace(-4, -1, n_grades - 1)
@@ -107,28 +127,21 @@ def fit(rows: list[np.ndarray], y: np.ndarray, n_grades: int = 3, rounds: int =
     importance /= importance.sum()
     x = np.r_[np.zeros(len(used)), cuts0[0], np.log(np.diff(cuts0))]
     m, v = np.zeros_like(x), np.zeros_like(x)
-    ordered = lambda p: np.cumsum(np.r_[p[0], np.exp(p[1:])])
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
     for t in range(1, rounds + 1):
-        cuts = np.r_[-np.inf, ordered(x[len(used) :]), np.inf]
-        score = np.bincount(at, x[column], len(y))
-        hi, lo = sigmoid(cuts[y + 1] - score), sigmoid(cuts[y] - score)
-        hi, lo = np.where(y == n_grades - 1, 1, hi), np.where(y == 0, 0, lo)
-        like = np.maximum(hi - lo, 1e-12)
-        up, down = hi * (1 - hi) / like, lo * (1 - lo) / like
-        d_score = importance * (up - down)
-        d_cuts = np.bincount(y, -importance * up, n_grades)[: n_grades - 1] + np.bincount(y, importance * down, n_grades)[1:]
-        tail = np.cumsum(d_cuts[::-1])[::-1]
-        grad = np.r_[np.bincount(column, d_score[at], len(used)) + ridge * x[: len(used)], tail[0], tail[1:] * np.exp(x[len(used) + 1 :])]
+        _, grad = objective(x, at, column, y, importance, len(used), n_grades, ridge)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         x -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     weights = np.zeros(SIZE, np.float32)
     weights[used] = x[: len(used)]
-    return Model(weights, ordered(x[len(used) :]))
+    return Model(weights, np.cumsum(np.r_[x[len(used)], np.exp(x[len(used) + 1 :])]))
 
 
 def train(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Model from ``rated`` (doc_id, grade): the ``sample`` lowest hashed ids are looked up in ``docs``."""
+    """Model from ``rated`` (doc_id, grade): the ``sample`` lowest hashed ids are looked up in ``docs``.
+
+    Null ids and grades are left out. Of several grades of an id the lowest counts, of several texts the one of least
+    features. Empty tables, or ratings of one grade alone, give a model that keeps everything.
+    """
     picked = rated.where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches):
@@ -147,7 +160,8 @@ def train(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: s
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:
     """(doc_id, expected_grade, p_middle, p_top, kept) of every row: expected grade, P(grade>=1), P(grade>=2), verdict.
 
-    A null text counts as empty; repeated rows and null ids are scored like any row; empty tables give no rows.
+    A null text counts as empty and texts of any length are scored whole; repeated rows and null ids are scored like any
+    row; other columns, of whatever names, are not read; empty tables give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -161,7 +175,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def select(docs: DataFrame, model: Model, text_col: str = "text", keep: float = KEEP) -> DataFrame:
-    """The rows of ``docs`` that the model keeps, all columns unchanged, without a shuffle."""
+    """The rows of ``docs`` that the model keeps, all columns unchanged and of any names, without a shuffle."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
