@@ -150,8 +150,10 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     base_failed: fewer than 10 words, or over a fifth of the words in repeated five-word windows. kept: not
     base_failed, and an anomaly below the cut. The forest's subsamples come from the ``trees * rows`` rows of lowest
     hashed id that pass the base rules and are not labelled poor; the cut is calibrated on the scores of all labelled
-    rows that pass the base rules. Without labels of both kinds nothing is rejected beyond the base rules. A null text
-    has no words; null ids and repeated rows are judged like any row; empty tables give no rows.
+    rows that pass the base rules. Without labels of both kinds nothing is rejected beyond the base rules. Of conflicting
+    labels of an id the worse one counts. A null text has no words; texts of any length are measured whole; null ids and
+    repeated rows are judged like any row; other columns, of whatever names, are not read; empty tables give no rows.
+    Rows of equal hash are taken into the sample in order of their id.
     """
     spark = docs.sparkSession
 

@@ -1,7 +1,9 @@
 import re
 
 import numpy as np
+import xxhash
 
+from colscan.llm import forest
 from colscan.llm.forest import judged, plant, statistics
 from colscan.llm.urlfilter import RULES, filtered
 
@@ -91,3 +93,67 @@ def test_url_edges(spark):
         host, path, best = by_rule(urls[g.page_id if g.page_id is not None else 3])
         assert (g.host, g.path, g.rule) == (host, path, best and best[1])
     assert filtered(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def slow_path(tree, row):
+    """Path length of a row in one tree, node by node."""
+    feature, split, left, length = tree
+    at = 0
+    while feature[at] >= 0:
+        at = left[at] + (1 if row[feature[at]] >= split[at] else 0)
+    return length[at]
+
+
+def test_forest_scores_against_plain_paths():
+    r = np.random.default_rng(3)
+    x = np.column_stack([r.normal(size=300), r.integers(0, 4, 300), np.full(300, 2.0)])
+    trees = forest.plant(x, trees=20, rows=64)
+    expected = float(forest.mean_path(64))
+    want = [2 ** -(np.mean([slow_path(t, row) for t in trees.trees]) / expected) for row in x[:50]]
+    assert np.allclose(trees.scores(x[:50]), want)
+    odd = np.array([[30.0, 3, 2.0]])
+    assert trees.scores(odd)[0] > np.quantile(trees.scores(x), 0.95)
+
+
+def test_trees_split_between_extremes():
+    """Every inner node has rows on both sides; leaves count what an unfinished subtree would still take."""
+    r = np.random.default_rng(4)
+    x = np.round(r.normal(size=(64, 3)), 1)
+    feature, split, left, length = forest.grow(x, r, 6)
+
+    def walk(at, rows, depth):
+        if feature[at] < 0:
+            assert length[at] == depth + float(forest.mean_path(len(rows)))
+            return len(rows)
+        right = rows[:, feature[at]] >= split[at]
+        assert 0 < right.sum() < len(rows)
+        return walk(left[at], rows[~right], depth + 1) + walk(left[at] + 1, rows[right], depth + 1)
+
+    assert walk(0, x, 0) == 64
+
+
+def test_verdicts_of_documents_recomputed(spark):
+    """Sample, forest, cut and verdict again, from the texts and labels by plain loops."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = {r.doc_id: r for r in judged(docs, labels, trees=16, rows=32).collect()}
+    texts = sorted((r.doc_id, r.text) for r in docs.collect())
+    stats = forest.statistics([t for _, t in texts])
+    failed = {d: s[0] < 10 or 100 * s[4] > 20 * s[0] for (d, _), s in zip(texts, stats, strict=True)}
+    good = {}
+    for r in labels.collect():
+        good[r.doc_id] = min(good.get(r.doc_id, True), r.quality == 1)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    ordered = sorted((signed(xxhash.xxh64_intdigest(d.to_bytes(8, "little"), 42)), d, i) for i, (d, _) in enumerate(texts) if not failed[d] and good.get(d, True))
+    x = forest.vectors(stats)
+    trees = forest.plant(x[[i for _, _, i in ordered[: 16 * 32]]], 16, 32)
+    score = {d: 2 ** -(np.mean([slow_path(t, x[i]) for t in trees.trees]) / float(forest.mean_path(32))) for i, (d, _) in enumerate(texts)}
+    tally = np.zeros((2, forest.BINS))
+    for d, v in score.items():
+        if d in good and not failed[d]:
+            tally[int(good[d]), min(forest.BINS - 1, int(v * forest.BINS))] += 1
+    cut = max(range(forest.BINS), key=lambda n: (round(tally[1, : n + 1].sum() / tally[1].sum() - tally[0, : n + 1].sum() / tally[0].sum(), 12), -n)) + 1
+    for d, r in got.items():
+        assert abs(r.anomaly - score[d]) < 1e-6 and r.base_failed == failed[d]
+        if abs(score[d] - cut / forest.BINS) > 1e-9:
+            assert r.kept == (not failed[d] and score[d] < cut / forest.BINS)
