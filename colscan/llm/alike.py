@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, sliced, staged
+from .common import drop_staged, partitions, sliced, staged
 from .wordhash import Words, encoded, mix, slabs
 
 #: Buckets of a text, and minima that make a bucket's name.
@@ -134,6 +134,7 @@ def similar_links(rows: DataFrame, docs: DataFrame, text_col: str = "text", widt
     tile = F.pmod(F.xxhash64("key", "fp"), F.col("k"))
     tiles = F.when(F.col("k") == 1, F.array("bucket")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda o: F.xxhash64(F.col("bucket"), F.least(o, tile), F.greatest(o, tile))))
     shared = staged(shared.select("key", "fp", "bytes", F.explode(tiles).alias("bucket")))
+    drop_staged(members)
     total = shared.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     n = max(partitions(spark, total[0], TASK_ROWS), partitions(spark, total[1], TASK_BYTES))
     one = sets(docs, text_col, width).join(shared.select("key").distinct(), "key", "left_semi")
