@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colscan.llm.common import quoted, staged, table
+from colscan.llm.common import drop_staged, quoted, staged, table
 from colscan.llm.decontaminate import clean
 from colscan.llm.mixing import in_order, mixed
 from colscan.llm.ordinal import grades, select, train
@@ -46,10 +46,13 @@ STAGES = [("quality classifier", classify), ("near duplicates", deduplicate), ("
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written and read again, and deleted when the next one stands."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir))
+        if before is not None:
+            drop_staged(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
