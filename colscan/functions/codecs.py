@@ -75,6 +75,31 @@ def plain(data: bytes, kind: str, n: int, width: int = 0):
     return plain_decode_int96(data, n) if kind == "int96" else plain_decode(data, kind, n)
 
 
+def plain_at(data: bytes, kind: str, mask: np.ndarray, width: int = 0):
+    """PLAIN values at the set places of a mask, which is as long as the page; the others are passed over undecoded."""
+    mask = np.asarray(mask, bool)
+    if kind == "byte_array":
+        out, at = [], 0
+        for keep in mask.tolist():
+            if at + 4 > len(data):
+                raise ValueError("length runs past the page")
+            end = at + 4 + int.from_bytes(data[at : at + 4], "little")
+            if end > len(data):
+                raise ValueError("value runs past the page")
+            if keep:
+                out.append(data[at + 4 : end])
+            at = end
+        return out
+    if kind == "fixed_len_byte_array":
+        return [data[i * width : (i + 1) * width] for i in np.flatnonzero(mask).tolist()]
+    return plain(data, kind, len(mask))[mask]
+
+
+def offsets_of(values: list[bytes]) -> tuple[np.ndarray, bytes]:
+    """Values as one run of bytes with the place where each begins, and the end."""
+    return np.cumsum([0, *map(len, values)]), b"".join(values)
+
+
 def lookup(dictionary, codes: np.ndarray):
     """Dictionary entries of codes; a code that the dictionary lacks is an error."""
     codes = np.asarray(codes, np.int64)
@@ -83,6 +108,21 @@ def lookup(dictionary, codes: np.ndarray):
     return dictionary[codes] if isinstance(dictionary, np.ndarray) else [dictionary[c] for c in codes.tolist()]
 
 
+def lookup_at(dictionary, codes: np.ndarray, mask: np.ndarray):
+    """Entries of the codes at the set places of a mask."""
+    return lookup(dictionary, np.asarray(codes)[np.asarray(mask, bool)])
+
+
+def unpack_lookup(data: bytes, width: int, n: int, dictionary):
+    """Dictionary entries of ``n`` bit-packed codes."""
+    return lookup(dictionary, bit_unpack(data, width, n))
+
+
+def predicate_bitmap(data: bytes, width: int, n: int, passes: np.ndarray) -> np.ndarray:
+    """Bytes with a bit for each of ``n`` hybrid-coded codes, lowest bit first: whether its entry ``passes``."""
+    return np.packbits(lookup(np.asarray(passes, bool), hybrid_decode(data, width, n)), bitorder="little")
+
+
 def small_codes(codes: np.ndarray, width: int) -> np.ndarray:
     """Codes as bytes; a bit width over 8 is an error."""
     if width > 8:
@@ -166,6 +206,17 @@ def hybrid_encode(values: np.ndarray, width: int, shortest: int = 8) -> bytes:
     return bytes(out)
 
 
+def packed_run(values: np.ndarray, width: int) -> bytes:
+    """All values as one bit-packed run of the hybrid, filled up with zeros to a multiple of eight."""
+    values = np.asarray(values, np.uint64)
+    if not len(values):
+        return b""
+    if int(values.max()).bit_length() > width:
+        raise ValueError(f"{values.max()} does not fit {width} bits")
+    groups = -(-len(values) // 8)
+    return varint(groups << 1 | 1) + bit_pack(np.r_[values, np.zeros(groups * 8 - len(values), np.uint64)], width)
+
+
 def delta_read(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
     """DELTA_BINARY_PACKED values as 64-bit integers, and where they end. The last block has all its miniblocks' widths,
     but bytes only for miniblocks that hold values."""

@@ -284,6 +284,39 @@ def test_levels_of_bytes():
     assert [pages.bit_width(n) for n in (0, 1, 2, 3, 4, 255, 256)] == [0, 1, 2, 2, 3, 8, 9]
 
 
+def test_values_at_a_mask():
+    """Sparse decoding of every physical type (E9-E11, E15, E16), and of codes."""
+    n, mask = 40, np.arange(40) % 3 == 1
+    for kind in codecs.TYPES:
+        v = np.arange(n).astype(codecs.TYPES[kind])
+        assert (codecs.plain_at(v.tobytes(), kind, mask) == v[mask]).all()
+    texts = [b"x" * (i % 5) for i in range(n)]
+    page = b"".join(len(t).to_bytes(4, "little") + t for t in texts)
+    assert codecs.plain_at(page, "byte_array", mask) == [t for t, m in zip(texts, mask, strict=True) if m]
+    with pytest.raises(ValueError):
+        codecs.plain_at(page[:-1], "byte_array", mask)
+    assert codecs.plain_at(bytes(range(80)), "fixed_len_byte_array", mask, 2) == [bytes([2 * i, 2 * i + 1]) for i in range(n) if mask[i]]
+    assert codecs.plain_at(np.packbits(mask, bitorder="little").tobytes(), "boolean", mask).all()
+    begin, data = codecs.offsets_of(codecs.plain_at(page, "byte_array", mask))
+    assert begin[-1] == len(data) and len(begin) == mask.sum() + 1
+    for width in (1, 3, 8, 12, 17, 20):
+        codes = np.arange(n) * 7 % (1 << width)
+        entries = np.arange(1 << width) * 10
+        assert (codecs.unpack_lookup(codecs.bit_pack(codes, width), width, n, entries) == codes * 10).all()
+        assert (codecs.lookup_at(entries, codes, mask) == codes[mask] * 10).all()
+        bits = codecs.predicate_bitmap(codecs.hybrid_encode(codes, width), width, n, entries % 20 == 0)
+        assert (np.unpackbits(bits, bitorder="little")[:n] == (codes % 2 == 0)).all()
+
+
+def test_one_packed_run():
+    values = np.array([1, 5, 7, 0, 2, 2, 2, 3, 6])
+    data = codecs.packed_run(values, 3)
+    assert data[0] == 5 and len(data) == 7 and (codecs.hybrid_decode(data, 3, 9) == values).all()
+    assert codecs.packed_run(np.zeros(0), 3) == b""
+    with pytest.raises(ValueError):
+        codecs.packed_run(values, 2)
+
+
 def test_dictionary_codes_as_bytes():
     assert codecs.small_codes(np.array([0, 255]), 8).dtype == np.uint8
     with pytest.raises(ValueError):
