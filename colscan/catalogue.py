@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from .functions import codecs, crypto, encodings
 from .operators import adaptive, dictionary, masks, ordered, stats
 from .plans.tpch import promo_share
 from .session import shared_dir
-from .sources import metadata
+from .sources import decode, metadata
 from .sources.scan import footers, scan
 from .sources.writer import WriteOptions, write
 from .streaming import stream
@@ -162,6 +163,30 @@ def selectivity_probe(spark, d):
     return spark.range(1).select(F.lit(p.rows_in).cast("long").alias("rows_in"), F.lit(p.rows_passed).cast("long").alias("rows_passed"), F.round(F.lit(p.selectivity), 6).alias("selectivity"), F.lit(p.dispatch).alias("dispatch"))
 
 
+for _kind in ("int", "bigint", "double", "string"):
+    for _shape, _op, _rows in (("mask", "<", "true"), ("values", ">=", "e.v >= 5")):
+        _v = f"cast(event_id % 100 as {'varchar' if _kind == 'string' else _kind})"
+        _test = f"cast(e.v as bigint) {_op} 5"
+
+        @query(f"select event_id, {'e.v as value' if _shape == 'values' else f'{_test} as mask'}, '{_shape}' as shape from (select event_id, {_v} as v from events) e" + (f" where {_test}" if _shape == "values" else ""), f"adaptive_{_kind}_{_shape}")
+        def _adaptive(spark, d, kind=_kind, shape=_shape):
+            e = _t(spark, d, "events", ["event_id"]).withColumn("value", (F.col("event_id") % 100).cast(kind))
+            found = adaptive.adaptive_filter(e, "value", (lambda c: c.cast("bigint") < 5) if shape == "mask" else (lambda c: c.cast("bigint") >= 5), "event_id", 1000)
+            return found.rows.withColumn("shape", F.lit(found.probe.dispatch))
+
+
+@query("select event_id, event_type as value, 'values' as shape, (select least(1536, count(*)) from events)::int as probed from events where event_type in ('click', 'view', 'purchase')")
+def adaptive_dictionary_values(spark, d):
+    found = adaptive.adaptive_dictionary_filter(_t(spark, d, "events", ["event_id", "event_type"]), "event_type", lambda c: c.isin("click", "view", "purchase"), "event_id", 512)
+    return found.rows.select("event_id", F.col("event_type").alias("value"), F.lit(found.kind).alias("shape"), F.lit(found.probe.rows_in).cast("int").alias("probed"))
+
+
+@query("select event_id, event_type = 'nothing' as mask, 'mask' as shape from events")
+def adaptive_dictionary_mask(spark, d):
+    found = adaptive.adaptive_dictionary_filter(_t(spark, d, "events", ["event_id", "event_type"]), "event_type", lambda c: c == "nothing", "event_id", 512)
+    return found.rows.select("event_id", "mask", F.lit(found.kind).alias("shape"))
+
+
 # Dictionaries
 
 _DICT = "with f as (select event_type as value, min(event_id) as first from events group by 1), k as (select row_number() over (order by first) - 1 as code, value, first from f) "
@@ -177,6 +202,17 @@ def dict_codes(spark, d):
     return dictionary.encode(_t(spark, d, "events", ["event_id", "event_type"]), "event_type", "event_id")
 
 
+@query(_DICT + "select event_id, code from events join k on event_type = k.value where event_type <> 'click'")
+def adaptive_dictionary_codes(spark, d):
+    """Passing rows by the code of their entry, without their values."""
+    return adaptive.adaptive_dictionary_filter(_t(spark, d, "events", ["event_id", "event_type"]), "event_type", lambda c: c != "click", "event_id", 512, codes=True).rows
+
+
+@query("select l_orderkey, l_returnflag, l_quantity from lineitem where upper(l_returnflag) <> 'R'")
+def expensive_predicate_on_dictionary(spark, d):
+    return dictionary.by_dictionary(_t(spark, d, "lineitem", ["l_orderkey", "l_returnflag", "l_quantity"]), "l_returnflag", lambda c: F.upper(c) != "R", expensive=True)
+
+
 @query(_DICT + "select event_id, code::smallint as code from events join k on event_type = k.value")
 def dict_codes_small(spark, d):
     return dictionary.encode(_t(spark, d, "events", ["event_id", "event_type"]), "event_type", "event_id", small=True)
@@ -239,6 +275,113 @@ def byte_array_offsets(spark, d):
     return encodings.offsets(_t(spark, d, "documents", ["doc_id", "text"]), "text", "doc_id")
 
 
+@query("select doc_id, (sum(octet_length(encode(text))) over (order by doc_id) - octet_length(encode(text)))::bigint as begin_offset, (sum(octet_length(encode(text))) over (order by doc_id))::bigint as end_offset from documents where doc_id % 3 = 1")
+def masked_byte_array_offsets(spark, d):
+    return encodings.masked_offsets(_t(spark, d, "documents", ["doc_id", "text"]), "text", "doc_id", F.col("doc_id") % 3 == 1)
+
+
+# Pages decoded from their bytes, as the files' metadata describes them
+
+#: name: (value in Spark, value in SQL, physical type, value of the bytes)
+_PAGED = {
+    "i32": ("cast(o_orderkey % 1000 as int)", "cast(o_orderkey % 1000 as int)", "INT32", "value"),
+    "i64": ("o_orderkey * 7 - 3", "o_orderkey * 7 - 3", "INT64", "value"),
+    "f32": ("cast(cast(o_orderkey as double) / 8 as float)", "cast(cast(o_orderkey as double) / 8 as float)", "FLOAT", "value"),
+    "f64": ("o_totalprice", "o_totalprice", "DOUBLE", "value"),
+    "bool": ("o_orderkey % 3 = 0", "o_orderkey % 3 = 0", "BOOLEAN", "value"),
+    "string": ("concat(o_orderpriority, o_orderkey % 400)", "concat(o_orderpriority, o_orderkey % 400)", "BYTE_ARRAY", "cast(value as string)"),
+    "nulls": ("case when o_orderkey % 5 > 0 then o_orderkey end", "case when o_orderkey % 5 > 0 then o_orderkey end", "INT64", "value"),
+    "int96": ("timestamp_millis(o_orderkey * 1000003)", "o_orderkey * 1000003 * 1000000", "INT96", "value"),
+    "flba": ("cast(o_orderkey as decimal(20,2))", "o_orderkey * 100", "FIXED_LEN_BYTE_ARRAY", "cast(conv(hex(value), 16, 10) as bigint)"),
+}
+for _name, (_value, _same, _physical, _seen) in _PAGED.items():
+    for _codec, _version, _dict in (("uncompressed", 1, False), ("snappy", 1, True), ("zstd", 2, False), ("gzip", 2, True), ("lz4_raw", 1, False), ("brotli", 1, True)):
+        if _codec == "brotli" and _name in ("int96", "flba"):
+            continue
+
+        @query(f"select o_orderkey as k, {_same} as v from orders", f"pages_{_name}_{_codec}_v{_version}{'_dictionary' if _dict else ''}")
+        def _paged(spark, d, value=_value, physical=_physical, seen=_seen, codec=_codec, version=_version, with_dict=_dict):
+            """Written by Spark (brotli: by pyarrow), decoded page by page from the bytes of the files."""
+            out, base = shared_dir(spark), spark.conf.get("spark.sql.parquet.outputTimestampType")
+            rows = _t(spark, d, "orders", ["o_orderkey", "o_totalprice", "o_orderpriority"]).selectExpr("o_orderkey as k", f"{value} as v")
+            spark.conf.set("spark.sql.parquet.outputTimestampType", "INT96")
+            try:
+                write(rows, out, WriteOptions(codec=codec, page_version=version, dictionary_default=with_dict, rows_per_group=4000))
+            finally:
+                spark.conf.set("spark.sql.parquet.outputTimestampType", base)
+            k = decode.column_by_pages(spark, out, "k", "INT64").select("file", "row", F.col("value").alias("k"))
+            v = decode.column_by_pages(spark, out, "v", physical).select("file", "row", F.expr(seen).alias("v"))
+            return k.join(v, ["file", "row"]).select("k", "v")
+
+
+@query("select vec_id as k, i - 1 as at, embedding[i] as v from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings)")
+def pages_of_lists(spark, d):
+    """Repetition levels part the rows of a list column; it is the second of its table."""
+    out = shared_dir(spark)
+    write(_t(spark, d, "embeddings", ["vec_id", "embedding"]), out)
+    leaf = metadata.schema_elements(spark, out).where("max_rep = 1 and column is not null").first()
+    k = decode.column_by_pages(spark, out, "vec_id", "INT64").select("file", "row", F.col("value").alias("k"))
+    v = decode.column_by_pages(spark, out, leaf.path, leaf.type).groupBy("file", "row").agg(F.array_sort(F.collect_list(F.struct("entry", "value")))["value"].alias("v"))
+    return k.join(v, ["file", "row"]).select("k", F.posexplode("v").alias("at", "v")).withColumn("at", F.col("at").cast("long"))
+
+
+def _written(spark, d, **how):
+    out = shared_dir(spark)
+    write(_t(spark, d, "orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"]).coalesce(1), out, WriteOptions(**how))
+    return out
+
+
+@query("select count(*) as n_rows, 1 as n_files, true as marks, true as sized, 'colscan' as who, 4 as columns from orders")
+def file_facts(spark, d):
+    out = _written(spark, d)
+    f = metadata.files(spark, out)
+    ends = f.select("file", F.explode(F.array(F.lit(0).cast("long"), F.col("file_size") - 4)).alias("offset"), F.lit(4).alias("length"))
+    marks = metadata.read_ranges(ends).agg(F.bool_and(F.col("bytes").cast("string") == "PAR1")).first()[0]
+    n = metadata.schema_elements(spark, out).where("column is not null").count()
+    sized = F.bool_and(F.col("footer_offset") + F.octet_length("footer") + 8 == F.col("file_size"))
+    return f.agg(F.sum("n_rows").alias("n_rows"), F.count("*").cast("int").alias("n_files"), F.lit(marks).alias("marks"), sized.alias("sized"), F.lit("colscan").alias("who"), F.lit(n).alias("columns"))
+
+
+@query("select * from (values ('o_orderkey', 'INT64', 'OPTIONAL', null, 0), ('o_custkey', 'INT64', 'OPTIONAL', null, 1), ('o_totalprice', 'DOUBLE', 'OPTIONAL', null, 2), ('o_orderpriority', 'BYTE_ARRAY', 'OPTIONAL', 'STRING', 3)) t(path, type, repetition_type, logical, ordinal)")
+def schema_facts(spark, d):
+    return metadata.schema_elements(spark, _written(spark, d)).where("column is not null").select("path", "type", "repetition_type", "logical", F.col("column").alias("ordinal"))
+
+
+@query("with r as (select *, (row_number() over (order by o_orderkey) - 1) // 1000 as g from orders) select g::int as row_group, count(*) as n_rows, min(g * 1000) as row_base from r group by g")
+def row_group_facts(spark, d):
+    out = shared_dir(spark)
+    write(_t(spark, d, "orders", ["o_orderkey"]).orderBy("o_orderkey").coalesce(1), out, WriteOptions(rows_per_group=1000))
+    return metadata.row_groups(spark, out).select("row_group", "n_rows", "row_base")
+
+
+@query("with r as (select *, (row_number() over (order by o_orderkey) - 1) // 1000 as g from orders) select g::int as row_group, min(o_custkey) as lo, max(o_custkey) as hi, count(*) filter (where o_custkey is null) as null_count, count(*) as num_values, 'SNAPPY' as codec from r group by g")
+def chunk_facts(spark, d):
+    out = shared_dir(spark)
+    write(_t(spark, d, "orders", ["o_orderkey", "o_custkey"]).orderBy("o_orderkey").coalesce(1), out, WriteOptions(rows_per_group=1000))
+    number = lambda c: F.conv(F.array_join(F.reverse(F.regexp_extract_all(F.hex(c), F.lit("(..)"))), ""), 16, 10).cast("long")
+    return metadata.chunks(spark, out).where("path = 'o_custkey'").select("row_group", number("min_value").alias("lo"), number("max_value").alias("hi"), "null_count", "num_values", "codec")
+
+
+@query("select count(*) as n_rows, 0 as wrong, true as several from orders")
+def page_index_facts(spark, d):
+    """The bounds and null counts that a column index gives for each page are those of the page's rows."""
+    out = shared_dir(spark)
+    _t(spark, d, "orders", ["o_orderkey", "o_custkey"]).orderBy("o_orderkey").coalesce(1).write.option("parquet.page.row.count.limit", "500").option("parquet.enable.dictionary", "false").parquet(out)
+    number = lambda c: F.conv(F.array_join(F.reverse(F.regexp_extract_all(F.hex(c), F.lit("(..)"))), ""), 16, 10).cast("long")
+    index = metadata.page_index(spark, out).where("column = 1").select("first_row", number("min_value").alias("lo"), number("max_value").alias("hi"), "null_count")
+    starts = sorted(r.first_row for r in index.select("first_row").collect())  # of one small file
+    rows = decode.column_by_pages(spark, out, "o_custkey", "INT64")
+    page = F.element_at(F.filter(F.array(*map(F.lit, starts)), lambda s: s <= F.col("row")), -1)
+    real = rows.groupBy(page.alias("first_row")).agg(F.min("value").alias("a"), F.max("value").alias("b"), F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"))
+    both = real.join(index, "first_row", "full")
+    return both.agg(F.sum("n").alias("n_rows"), F.count_if(~(F.col("a").eqNullSafe(F.col("lo")) & F.col("b").eqNullSafe(F.col("hi")) & F.col("nulls").eqNullSafe(F.col("null_count")))).cast("int").alias("wrong"), F.lit(len(starts) > 1).alias("several"))
+
+
+@query("select count(*) as n_values, 'PLAIN' as encoding, 'DATA_PAGE' as type from orders")
+def page_header_facts(spark, d):
+    return metadata.pages(spark, _written(spark, d, dictionary_default=False)).where("column = 0").groupBy("encoding", "type").agg(F.sum("n_values").alias("n_values"))
+
+
 @query("select vec_id, i - 1 as at, case when i > 1 then 1 else 0 end as rep, 3 as def, embedding[i] as value from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings)", "list_levels")
 def list_levels(spark, d):
     return encodings.levels(_t(spark, d, "embeddings", ["vec_id", "embedding"]), "embedding", "vec_id")
@@ -375,6 +518,26 @@ def stream_scan(spark, d):
     return stream.drain(stream.file_stream(spark, source), shared_dir(spark), shared_dir(spark))
 
 
+@query("select time_bucket(interval '1 day', ts) as day, event_type, count(*) as n from events group by all")
+def stream_windowed(spark, d):
+    """Counts of a stream in windows of a day, with late rows allowed for."""
+    source, out = shared_dir(spark), f"windows_{uuid.uuid4().hex}"
+    _t(spark, d, "events", ["ts", "event_type"]).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(source)
+    counts = stream.windowed_counts(stream.file_stream(spark, source), "ts", "1 day", "400 days", "event_type")
+    counts.writeStream.format("memory").queryName(out).outputMode("complete").option("checkpointLocation", shared_dir(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(out).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", F.col("count").alias("n"))
+
+
+@query("select o_orderkey, o_orderpriority, octet_length(encode(o_orderpriority)) + 32 as used from orders")
+def module_roundtrip(spark, d):
+    """Values framed as modules of a page each, with counted nonces, and opened again."""
+    context = crypto.ModuleContext(KEY, b"file", b"tab", 0, 1, crypto.CountedNonces(b"nnnn"))
+    rows = _t(spark, d, "orders", ["o_orderkey", "o_orderpriority"])
+    sealed = rows.select("o_orderkey", crypto.encrypt_module(F.col("o_orderpriority"), context, "data_page", 2, F.col("o_orderkey")).alias("m"))
+    opened = sealed.select("o_orderkey", crypto.decrypt_module(F.col("m"), context, "data_page", 2).alias("p"))
+    return opened.select("o_orderkey", F.col("p.plain").cast("string").alias("o_orderpriority"), F.col("p.used").alias("used"))
+
+
 @query("select o_orderkey, o_orderpriority from orders")
 def aes_roundtrip(spark, d):
     sealed = _t(spark, d, "orders", ["o_orderkey", "o_orderpriority"]).withColumn("o_orderpriority", crypto.encrypt(F.col("o_orderpriority"), KEY, AAD))
