@@ -10,12 +10,19 @@ from .wordhash import Words
 
 #: Words of a stretch, and of the pieces whose least hash names it.
 LENGTH, GRAM = 20, 10
+#: Symbols at which a search begins with a table; the rest is backward search.
+SEED = 8
 #: Stretches searched for at once, and bytes whose words are hashed at once.
 BATCH, SLAB = 1 << 16, 1 << 20
 
 
+#: The bits below each place of a word.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class Wavelet:
-    """Rank of symbols in a sequence, from one bit vector for each bit of the symbols, in 64-bit words with counts."""
+    """Rank of symbols in a sequence, from one bit vector for each bit of the symbols: 64-bit words and the ones before each,
+    in 32 bits, so a symbol of b bits takes 1.5 b bits."""
 
     def __init__(self, seq: np.ndarray, sigma: int):
         self.levels = []
@@ -28,22 +35,22 @@ class Wavelet:
             padded = np.zeros(-(-(n + 1) // 64) * 64, np.uint8)
             padded[:n] = bit
             words = np.packbits(padded, bitorder="little").view("<u8")
-            counts = np.r_[0, np.cumsum(np.bitwise_count(words).astype(np.int64))]
+            counts = np.r_[0, np.cumsum(np.bitwise_count(words), dtype=np.int32)].astype(np.int32)
             zeros = n - int(counts[-1])
             self.levels.append((b, words, counts, zeros))
-            place = self._step(place, (first >> b & 1).astype(bool), words, counts, zeros)
+            place = self._step(place.astype(np.int32), (first >> b & 1).astype(bool), words, counts, zeros)
             seq = np.concatenate((seq[~bit], seq[bit]))
         self.base = place
 
     @staticmethod
     def _step(i, bit, words, counts, zeros):
         w = i >> 6
-        ones = counts[w] + np.bitwise_count(words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
+        ones = counts[w] + np.bitwise_count(words[w] & _BELOW[i & 63])
         return np.where(bit, zeros + ones, i - ones)
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often each ``symbol`` stands before place ``i``."""
-        i = i.astype(np.int64)
+        i = i.astype(np.int32)
         for b, words, counts, zeros in self.levels:
             i = self._step(i, (symbol >> b & 1).astype(bool), words, counts, zeros)
         return i - self.base[symbol]
@@ -70,15 +77,16 @@ def suffix_order(text: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, n
 class FMIndex:
     """Index of a text whose symbol 0 parts the documents; answers patterns of up to ``depth`` symbols.
 
-    The intervals of all strings of ``seed`` symbols are kept as a table, so that a search takes up there.
+    The intervals of all strings of ``SEED`` symbols are kept as a table, so that a search takes up there. The text is
+    held once, in 32 bits a symbol; the suffix order goes when its Burrows-Wheeler transform is in the wavelet matrix.
     """
 
     def __init__(self, text: np.ndarray, depth: int):
         sigma = int(text.max()) + 1
-        self.seed = 1 << (min(depth, 16).bit_length() - 1)
-        order, self.seeds = suffix_order(text, depth, self.seed)
-        self.first = np.r_[0, np.cumsum(np.bincount(self.seeds))]
-        self.text = text
+        self.seed = 1 << (min(depth, SEED).bit_length() - 1)
+        order, seeds = suffix_order(text, depth, self.seed)
+        self.seeds, self.first = seeds.astype(np.int32), np.r_[0, np.cumsum(np.bincount(seeds))]
+        self.text = text.astype(np.int32)
         self.wavelet = Wavelet(text[order - 1], sigma)  # the Burrows-Wheeler transform; place 0 wraps to the last symbol
         self.below = np.r_[0, np.cumsum(np.bincount(text, minlength=sigma))]
 
@@ -96,9 +104,14 @@ class FMIndex:
         for j in range(skip - 1, -1, -1):
             if not len(live):
                 break
+            # Equal strings have equal intervals, so each interval and symbol is looked up once.
             c = self.text[places[live] + j]
-            both = self.wavelet.rank(np.concatenate((c, c)), np.concatenate((lo[live], hi[live])))
-            lo[live], hi[live] = self.below[c] + both[: len(c)], self.below[c] + both[len(c) :]
+            one, again = np.unique(lo[live] * np.int64(len(self.below)) + c, return_inverse=True)
+            c, start = one % len(self.below), one // len(self.below)
+            stop = np.zeros(len(one), np.int64)
+            stop[again] = hi[live]
+            both = self.wavelet.rank(np.concatenate((c, c)), np.concatenate((start, stop)))
+            lo[live], hi[live] = (self.below[c] + both[: len(c)])[again], (self.below[c] + both[len(c) :])[again]
             live = live[hi[live] - lo[live] > 1]
             matched[live] += 1
         return lo, hi, matched
@@ -181,3 +194,17 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     out = Repeats(length, min(GRAM, length // 2), True, True, decide)(docs, id_col, text_col)
     return out.select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256", "kept")
+
+
+def words_sql(length: int = LENGTH) -> str:
+    """DuckDB form of ``dedup_words`` over documents(doc_id, text) with unique ids, without the kept text."""
+    return f"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+     g as (select doc_id, i, array_to_string(w[i:i + {length - 1}], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - {length - 2})) as i from d)),
+     f as (select s, min({{'d': doc_id, 'i': i}}) as first from g group by s),
+     r as (select doc_id, i from g join f using (s) where {{'d': doc_id, 'i': i}} > first),
+     c as (select distinct doc_id, unnest(range(i, i + {length})) as p from r),
+     k as (select doc_id, p, x from (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from d) anti join c using (doc_id, p)),
+     t as (select doc_id, count(*) as n, string_agg(x, ' ' order by p) as kept from k group by doc_id)
+select d.doc_id, len(d.w) as n_words, len(d.w) - coalesce(t.n, 0) as n_removed, sha256(coalesce(t.kept, '')) as kept_sha256 from d left join t using (doc_id)
+"""
