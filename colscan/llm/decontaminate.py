@@ -213,3 +213,17 @@ def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", smallest: i
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
+
+
+def leaks_sql() -> str:
+    """DuckDB form of ``leaks`` over documents(doc_id, text) and benchmark(item_id, text): all shingles, joined."""
+    words = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+    return f"""
+with b as (select row_number() over () as r, item_id, {words} as w from benchmark where text is not null),
+     i as (select distinct r, item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda x: array_to_string(w[x:x + k - 1], ' '))) as s from (select *, least({WIDTH}, len(w)) as k from b where len(w) > 0)),
+     n as (select r, count(*) as n from i group by r),
+     d as (select row_number() over () as q, doc_id, {words} as w from documents where text is not null),
+     g as (select distinct q, doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda x: array_to_string(w[x:x + k - 1], ' '))) as s from d, (select distinct k from i) where len(w) >= k)
+select g.doc_id, i.item_id, count(*) / any_value(n.n) as containment
+from g join i on g.k = i.k and g.s = i.s join n on n.r = i.r group by g.q, g.doc_id, i.r, i.item_id having count(*) >= {THRESHOLD} * any_value(n.n)
+"""

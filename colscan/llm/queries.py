@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .decontaminate import leaks
-from .fmindex import dedup_words
+from .decontaminate import leaks, leaks_sql
+from .fmindex import dedup_words, words_sql
 from .forest import judged
 from .mixing import plan
 from .ordinal import grades, scores, train
 from .pii import personal_data
 from .sharding import shards, shards_sql
 from .simhash import near_duplicates
-from .suffixlog import dedup_bytes
+from .suffixlog import bytes_sql, dedup_bytes
 from .urlfilter import filtered
 
 
@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": shards_sql()}
+    return {"op3_fmindex": words_sql(), "op5_suffixlog": bytes_sql(), "op6_sharding": shards_sql(), "op7_decontaminate": leaks_sql()}

@@ -123,3 +123,28 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     out = Repeats(length, min(GRAM, length // 2), False, False, decide, SHARD_BYTES)(docs, id_col, text_col)
     return out.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", "kept")
+
+
+def bytes_sql(length: int = LENGTH) -> str:
+    """DuckDB form of ``dedup_bytes`` over documents(doc_id, text) with unique ids, without the kept bytes; strings of bytes as hex.
+
+    Texts are cut into pieces first, since a place in a long string takes long to find. A hash picks the strings that are compared.
+    """
+    return f"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+     p as (select doc_id, 200 * j as base, substr(h, 400 * j + 1, {2 * length + 400}) as t, least(200, n - {length - 1} - 200 * j) as m from (select *, unnest(range(0, (n + 199) // 200)) as j from d)),
+     g as (select doc_id, base + i as i, substr(t, 2 * i + 1, {2 * length}) as s, hash(substr(t, 2 * i + 1, {2 * length})) as x from (select *, unnest(range(0, m)) as i from p)),
+     m as (select x from g group by x having min(doc_id) < max(doc_id)),
+     w as (select doc_id, i, s from g semi join m using (x)),
+     f as (select s, min(doc_id) as first from w group by s),
+     r as (select doc_id, i from w join f using (s) where doc_id > first),
+     e as (select doc_id, i, i > lag(i) over (partition by doc_id order by i) + {length} as apart from r),
+     o as (select doc_id, i, sum(case when apart is distinct from false then 1 else 0 end) over (partition by doc_id order by i) as span from e),
+     v as (select doc_id, span, min(i) as a, max(i) + {length} as b from o group by doc_id, span),
+     q as (select doc_id, sum(b - a)::bigint as removed, count(*) as spans, max(b) as last from v group by doc_id),
+     z as (select doc_id, a, coalesce(lag(b) over (partition by doc_id order by a), 0) as begin from v),
+     k as (select doc_id, string_agg(substr(h, 2 * begin + 1, 2 * (a - begin)), '' order by a) as kept from z join d using (doc_id) group by doc_id)
+select d.doc_id, d.n as n_bytes, coalesce(q.removed, 0) as n_removed, coalesce(q.spans, 0) as n_spans,
+       sha256(unhex(case when q.removed is null then d.h else k.kept || substr(d.h, 2 * q.last + 1) end)) as kept_sha256
+from d left join q using (doc_id) left join k using (doc_id)
+"""
