@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from colscan.functions import codecs, crypto, encodings, pages, thrift
 from colscan.jobs import Cancelled, CancellationToken, ReadOptions, read_columns
 from colscan.operators import adaptive, masks, ordered, stats
-from colscan.sources import metadata
+from colscan.sources import encrypted, metadata
 from colscan.sources.scan import footers, scan
 from colscan.sources.writer import WriteOptions, write
 from colscan.streaming import stream
@@ -540,3 +540,33 @@ def test_framed_modules(spark):
     assert len(crypto.random_bytes(12)) == 12
     with pytest.raises(ValueError):
         crypto.CountedNonces(b"abc")
+
+
+# Encrypted files
+
+
+@pytest.mark.parametrize("footer", encrypted.FOOTER_MODES)
+def test_encrypted_files(spark, tmp_path, footer, monkeypatch):
+    monkeypatch.setattr(encrypted, "PAGE_ROWS", 100)
+    monkeypatch.setattr(encrypted, "GROUP_ROWS", 250)
+    keys = crypto.StaticKeys().set_footer(b"f" * 16).set_column("s", b"s" * 32)
+    schema = "i int, n bigint, d double, b boolean, s string"
+    rows = [(i, None if i % 4 == 0 else i * 10**10, i / 3, i % 3 == 0, None if i % 7 == 0 else f"secret é {i}") for i in range(900)]
+    df = spark.createDataFrame(rows, schema).repartition(2)
+    path = f"file://{tmp_path}/e"
+    encrypted.write_encrypted(df, path, keys, footer)
+    raw = b"".join((tmp_path / "e" / n).read_bytes() for n in os.listdir(tmp_path / "e"))
+    assert b"secret" not in raw and not [n for n in os.listdir(tmp_path / "e") if "draft" in n]
+    assert sorted(map(tuple, encrypted.scan_encrypted(spark, path, keys, schema).collect())) == sorted(rows)
+    about = metadata.files(spark, path).collect()
+    assert {(r.footer_encrypted, r.algorithm) for r in about} == {(footer == "encrypted", "AES_GCM_V1")}
+    # without the key of one column the others can be read, and that one cannot
+    part = crypto.StaticKeys().set_footer(b"f" * 16)
+    assert sorted(r.i for r in encrypted.scan_encrypted(spark, path, part, schema, ["i"]).collect()) == list(range(900))
+    for bad in (part, crypto.StaticKeys().set_footer(b"x" * 16).set_column("s", b"s" * 32)):
+        with pytest.raises(Exception):  # noqa: B017
+            encrypted.scan_encrypted(spark, path, bad, schema).collect()
+    with pytest.raises(FileExistsError):
+        encrypted.write_encrypted(df, path, keys, footer)
+    with pytest.raises(ValueError):
+        encrypted.write_encrypted(df, f"{path}2", keys, "other")
