@@ -436,12 +436,12 @@ _round_trip("writer_row_groups", "orders", ["o_orderkey", "o_custkey"], WriteOpt
 _round_trip("writer_dictionary_and_bloom", "orders", ["o_orderkey", "o_custkey"], WriteOptions(dictionary={"o_custkey": True, "o_orderkey": False}, blooms={"o_orderkey": (20_000, 0.01)}), dictionaries="o_custkey=dictionary o_orderkey=plain", blooms="o_custkey=none o_orderkey=bloom")
 
 
-@query("select o_orderkey, o_orderpriority, true as smaller from orders")
+@query("select doc_id, text, true as smaller from documents")
 def writer_zstd_level(spark, d):
     """A high level makes smaller files than a low one."""
     outs, sizes = [shared_dir(spark), shared_dir(spark)], []
     for out, level in zip(outs, (1, 19), strict=True):
-        write(_t(spark, d, "orders", ["o_orderkey", "o_orderpriority"]), out, WriteOptions(codec="zstd", level=level, dictionary_default=False))
+        write(_t(spark, d, "documents", ["doc_id", "text"]), out, WriteOptions(codec="zstd", level=level, dictionary_default=False))
         sizes.append(metadata.chunks(spark, out).agg(F.sum("total_compressed_size")).first()[0])
     return spark.read.parquet(outs[1]).withColumn("smaller", F.lit(sizes[1] < sizes[0]))
 
