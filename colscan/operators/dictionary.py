@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import row_index
@@ -16,10 +16,17 @@ ENTRIES = 100_000
 def dictionary(df: DataFrame, column: str, key: str) -> DataFrame:
     """(code, value, first): the distinct values in order of their first row; nulls have no code.
 
-    Only the distinct values are put in one order, not the rows.
+    Only the distinct values are put in order, not the rows: up to ``ENTRIES`` of them in one task.
     """
+    return entries(df, column, key)[0]
+
+
+def entries(df: DataFrame, column: str, key: str) -> tuple[DataFrame, bool]:
+    """(``dictionary``, whether it has at most ``ENTRIES`` entries); one job finds out."""
     found = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(key).alias("first"))
-    return row_index(found, "first", "code").select(F.col("code").cast("long").alias("code"), "value", "first")
+    few = found.limit(ENTRIES + 1).count() <= ENTRIES
+    placed = found.withColumn("code", F.row_number().over(Window.orderBy("first")) - 1) if few else row_index(found, "first", "code")
+    return placed.select(F.col("code").cast("long").alias("code"), "value", "first"), few
 
 
 def small_enough(entries: DataFrame) -> DataFrame:
@@ -30,12 +37,13 @@ def small_enough(entries: DataFrame) -> DataFrame:
 
 def encode(df: DataFrame, column: str, key: str, small: bool = False) -> DataFrame:
     """(key, code). ``small`` gives 16-bit codes and fails over 256 distinct values."""
-    codes = dictionary(df, column, key)
+    codes, few = entries(df, column, key)
     if small:
-        if codes.limit(257).count() > 256:
+        if not few or codes.limit(257).count() > 256:
             raise ValueError("over 256 distinct values")
         codes = codes.withColumn("code", F.col("code").cast("smallint"))
-    codes = small_enough(codes.select("code", "value"))
+    codes = codes.select("code", "value")
+    codes = F.broadcast(codes) if few else codes
     return df.join(codes, df[column] == codes["value"], "left").select(df[key], "code")
 
 
