@@ -48,6 +48,12 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
+def filtered_rows(docs: DataFrame, keep) -> DataFrame:
+    """``docs`` through ``keep``, which gives batches of some of the rows; columns go by place, so they may have any names."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
+
+
 def text_of(name: str) -> Column:
     """A text column as string, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import filtered_rows, sliced
 from .wordhash import Words, encoded, mix, slabs, spans
 
 #: Words of a shingle; shingles of an item that a document must hold.
@@ -211,7 +211,7 @@ def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", smallest: i
                 keep[[i for i, _, _ in items.value.found(b.column(at).to_pylist())]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = filtered_rows(docs, run)
     return docs
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import filtered_rows, sliced
 
 #: Labelled documents used for fitting, at most.
 SAMPLE = 12_000
@@ -183,4 +183,4 @@ def select(docs: DataFrame, model: Model, text_col: str = "text", keep: float =
         for b in sliced(batches):
             yield b.filter(pa.array([bool(shared.value.tails(t, memo)[-1] >= keep) for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered_rows(docs, run)
