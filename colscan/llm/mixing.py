@@ -148,7 +148,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *
     return found.select("d", F.explode("uses").alias("u")).select("d.*", "u.epoch", "u.block", "u.rank")
 
 
-def in_order(docs: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+def in_order(docs: DataFrame, rows: int, each: int = 8_000) -> DataFrame:
     """``mixed`` rows dealt to partitions by ranges of (block, rank) and sorted in them: written files have the mixed order."""
     n = max(1, -(-rows // each))
     return docs.repartitionByRange(n, "block", "rank").sortWithinPartitions("block", "rank")
