@@ -309,9 +309,7 @@ for _name, (_value, _same, _physical, _seen) in _PAGED.items():
                 write(rows, out, WriteOptions(codec=codec, page_version=version, dictionary_default=with_dict, rows_per_group=4000))
             finally:
                 spark.conf.set("spark.sql.parquet.outputTimestampType", base)
-            k = decode.column_by_pages(spark, out, "k", "INT64").select("file", "row", F.col("value").alias("k"))
-            v = decode.column_by_pages(spark, out, "v", physical).select("file", "row", F.expr(seen).alias("v"))
-            return k.join(v, ["file", "row"]).select("k", "v")
+            return decode.columns_by_pages(spark, out, {"k": "INT64", "v": physical}).withColumnRenamed("v", "value").selectExpr("k", f"{seen} as v")
 
 
 @query("select vec_id as k, i - 1 as at, embedding[i] as v from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings)")
