@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import codecs, crypto, encodings
@@ -364,15 +366,15 @@ def chunk_facts(spark, d):
 def page_index_facts(spark, d):
     """The bounds and null counts that a column index gives for each page are those of the page's rows."""
     out = shared_dir(spark)
-    _t(spark, d, "orders", ["o_orderkey", "o_custkey"]).orderBy("o_orderkey").coalesce(1).write.option("parquet.page.row.count.limit", "500").option("parquet.enable.dictionary", "false").parquet(out)
-    number = lambda c: F.conv(F.array_join(F.reverse(F.regexp_extract_all(F.hex(c), F.lit("(..)"))), ""), 16, 10).cast("long")
-    index = metadata.page_index(spark, out).where("column = 1").select("first_row", number("min_value").alias("lo"), number("max_value").alias("hi"), "null_count")
-    starts = sorted(r.first_row for r in index.select("first_row").collect())  # of one small file
+    _t(spark, d, "orders", ["o_orderkey", "o_custkey"]).orderBy("o_orderkey").write.option("parquet.page.row.count.limit", "500").option("parquet.enable.dictionary", "false").parquet(out)
+    number = lambda c: F.conv(F.array_join(F.reverse(F.regexp_extract_all(F.hex(c), F.lit("(..)"))), ""), 16, -10).cast("long")
+    place = ["file", "row_group", "page"]
+    index = metadata.page_index(spark, out).where("column = 1").select(*place, "first_row", number("min_value").alias("lo"), number("max_value").alias("hi"), "null_count")
     rows = decode.column_by_pages(spark, out, "o_custkey", "INT64")
-    page = F.element_at(F.filter(F.array(*map(F.lit, starts)), lambda s: s <= F.col("row")), -1)
-    real = rows.groupBy(page.alias("first_row")).agg(F.min("value").alias("a"), F.max("value").alias("b"), F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"))
-    both = real.join(index, "first_row", "full")
-    return both.agg(F.sum("n").alias("n_rows"), F.count_if(~(F.col("a").eqNullSafe(F.col("lo")) & F.col("b").eqNullSafe(F.col("hi")) & F.col("nulls").eqNullSafe(F.col("null_count")))).cast("int").alias("wrong"), F.lit(len(starts) > 1).alias("several"))
+    real = rows.groupBy(place).agg(F.min("row").alias("first"), F.min("value").alias("a"), F.max("value").alias("b"), F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"))
+    real = real.withColumn("first", F.col("first") - F.min("first").over(Window.partitionBy("file", "row_group")))  # the index counts from the row group's first row
+    same = [F.col(x).eqNullSafe(F.col(y)) for x, y in (("first", "first_row"), ("a", "lo"), ("b", "hi"), ("nulls", "null_count"))]
+    return real.join(index, place, "full").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count_if(~reduce(and_, same)).cast("int").alias("wrong"), (F.count("*") > 1).alias("several"))
 
 
 @query("select count(*) as n_values, 'PLAIN' as encoding, 'DATA_PAGE' as type from orders")
