@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -15,7 +16,7 @@ from .functions import codecs, crypto, encodings
 from .operators import adaptive, dictionary, masks, ordered, stats
 from .plans.tpch import promo_share
 from .session import shared_dir
-from .sources import decode, metadata
+from .sources import blooms, decode, metadata
 from .sources.scan import footers, scan
 from .sources.writer import WriteOptions, write
 from .streaming import stream
@@ -468,20 +469,15 @@ for _kind, _type in (("i64", "bigint"), ("i32", "int"), ("f64", "double"), ("boo
 
 @query("select o_custkey, true as held, true as true_rate from orders group by 1")
 def bloom_probe(spark, d):
-    """Every value is held by its file's Bloom filter, and few others are."""
-    out = shared_dir(spark)
-    orders = _t(spark, d, "orders", ["o_orderkey", "o_custkey"]).coalesce(1)
-    write(orders, out, WriteOptions(blooms={"o_custkey": (20_000, 0.01)}))
-    bloom = codecs.BlockBloom.from_bytes(metadata.bloom_filters(spark, out).first()["filter"])  # one filter of 32 KB
-
-    def held(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bloom.has(b.column(1).to_numpy().view("u8")))], names=["o_custkey", "held"])
-
-    hashed = codecs.with_hash(spark.read.parquet(out).select("o_custkey").distinct(), "o_custkey", "h")
-    others = codecs.with_hash(spark.range(1 << 40, (1 << 40) + 5000), "id", "h").mapInArrow(held, "o_custkey long, held boolean")
-    rate = others.where("held").count() / 5000
-    return hashed.mapInArrow(held, "o_custkey long, held boolean").withColumn("true_rate", F.lit(rate < 0.02))
+    """Every value is held by its file's Bloom filter, and few others are. Values are dealt over files, so that each filter has the values it was sized for."""
+    out, room = shared_dir(spark), 20_000
+    orders = _t(spark, d, "orders", ["o_orderkey", "o_custkey"])
+    n = orders.agg(F.count_distinct("o_custkey")).first()[0]
+    write(orders.repartition(math.ceil(max(n, 1) / (0.8 * room)), "o_custkey"), out, WriteOptions(blooms={"o_custkey": (room, 0.01)}))
+    others = codecs.hashed(pa.array(range(1 << 40, (1 << 40) + 5000), pa.int64()), "int64").to_numpy().view("u8")
+    rate = blooms.held_by_chance(spark, out, others).agg(F.sum("held") / F.sum("n")).first()[0] or 0
+    own = blooms.held_by_own(spark, out, "o_custkey", "INT64").groupBy(F.col("value").alias("o_custkey"))
+    return own.agg(F.bool_and(F.coalesce("held", F.lit(False))).alias("held")).withColumn("true_rate", F.lit(rate < 0.02))
 
 
 @query("select g as row_group, count(*) as n_rows, min(o_orderkey) as lo, max(o_orderkey) as hi from (select o_orderkey, (row_number() over (order by o_orderkey) - 1) // 1000 as g from orders) group by g")
