@@ -437,7 +437,7 @@ _round_trip("writer_v1", "lineitem", ["l_orderkey", "l_quantity", "l_returnflag"
 _round_trip("writer_v2", "lineitem", ["l_orderkey", "l_quantity", "l_returnflag"], WriteOptions(page_version=2), pages="DATA_PAGE_V2")
 _round_trip("writer_dictionary", "lineitem", ["l_returnflag", "l_linestatus"], WriteOptions(dictionary={"l_returnflag": True}, dictionary_default=False), dictionaries="l_linestatus=plain l_returnflag=dictionary")
 _round_trip("writer_row_groups", "orders", ["o_orderkey", "o_custkey"], WriteOptions(rows_per_group=1000), rows_most="1000")
-_round_trip("writer_dictionary_and_bloom", "orders", ["o_orderkey", "o_custkey"], WriteOptions(dictionary={"o_custkey": True, "o_orderkey": False}, blooms={"o_orderkey": (20_000, 0.01)}), dictionaries="o_custkey=dictionary o_orderkey=plain", blooms="o_custkey=none o_orderkey=bloom")
+_round_trip("writer_dictionary_and_bloom", "orders", ["o_orderkey", "o_custkey"], WriteOptions(dictionary={"o_custkey": True, "o_orderkey": False}, blooms={"o_orderkey": (20_000, 0.01)}, order=("o_custkey", "o_orderkey")), dictionaries="o_custkey=dictionary o_orderkey=plain", blooms="o_custkey=none o_orderkey=bloom")
 
 
 @query("select doc_id, text, true as smaller from documents")

@@ -31,3 +31,9 @@ def test_values_are_probed_in_their_own_row_group(spark, tmp_path):
     assert blooms.held_by_chance(spark, path, np.arange(7, dtype=np.uint64)).count() == 4
     write(spark.range(9), f"{path}2")
     assert {r.held for r in blooms.held_by_own(spark, f"{path}2", "id", "INT64").collect()} == {None}
+
+
+def test_dictionary_of_many_values_is_kept(spark, orders):
+    rows = catalogue.queries()["writer_dictionary_and_bloom"](spark, orders)
+    assert rows.count() == 120_001
+    assert [tuple(r) for r in rows.select("dictionaries", "blooms").distinct().collect()] == [("o_custkey=dictionary o_orderkey=plain", "o_custkey=none o_orderkey=bloom")]
