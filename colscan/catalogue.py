@@ -18,7 +18,7 @@ from .plans.tpch import promo_share
 from .session import shared_dir
 from .sources import blooms, decode, metadata
 from .sources.scan import footers, scan
-from .sources.writer import WriteOptions, write
+from .sources.writer import WriteOptions, evenly, write
 from .streaming import stream
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -464,10 +464,12 @@ _round_trip("writer_dictionary_and_bloom", "orders", ["o_orderkey", "o_custkey"]
 @query("select doc_id, text, true as smaller from documents")
 def writer_zstd_level(spark, d):
     """A high level makes smaller files than a low one."""
-    outs, sizes = [shared_dir(spark), shared_dir(spark)], []
+    outs, sizes, rows = [shared_dir(spark), shared_dir(spark)], [], _t(spark, d, "documents", ["doc_id", "text"])
+    n_bytes = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
+    rows = evenly(rows, n_bytes).sortWithinPartitions("doc_id")  # the same pages at both levels
     for out, level in zip(outs, (1, 19), strict=True):
-        write(_t(spark, d, "documents", ["doc_id", "text"]), out, WriteOptions(codec="zstd", level=level, dictionary_default=False))
-        sizes.append(metadata.chunks(spark, out).agg(F.sum("total_compressed_size")).first()[0])
+        write(rows, out, WriteOptions(codec="zstd", level=level, dictionary_default=False))
+        sizes.append(metadata.chunks(spark, out).agg(F.sum("total_compressed_size")).first()[0] or 0)
     return spark.read.parquet(outs[1]).withColumn("smaller", F.lit(sizes[1] < sizes[0]))
 
 

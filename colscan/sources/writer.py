@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import posixpath
 import uuid
 from collections.abc import Iterator
@@ -40,6 +41,19 @@ class WriteOptions:
         return out
 
 
+#: Bytes of rows that a task takes where compressing them is slow, and those below which it would only make small pages.
+TASK_BYTES, LEAST_BYTES = 16 << 20, 1 << 20
+
+
+def evenly(df: DataFrame, n_bytes: int) -> DataFrame:
+    """The rows, ``n_bytes`` in all, dealt evenly over tasks, of which each core has three at least if there is enough for them.
+
+    Spark reads a row group in one task, so tables of few or uneven ones leave cores idle while the largest is compressed.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, math.ceil(n_bytes / TASK_BYTES), min(3 * cores, n_bytes // LEAST_BYTES)))
+
+
 #: Modes of writing.
 MODES = ("append", "overwrite", "ignore", "errorifexists", "error")
 
